@@ -9,6 +9,7 @@ from graphloom.functions.store import table
 from graphloom.llm.encode import encode_texts
 from graphloom.llm.groups import match_groups
 from graphloom.llm.leaks import leaked_items, without_leaks
+from graphloom.llm.spam import spam_pages
 from graphloom.llm.split import split_texts
 
 
@@ -43,7 +44,15 @@ def p9_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence)}
 
 SQL = {
     "p1_found": """
