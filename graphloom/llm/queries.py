@@ -9,6 +9,7 @@ from graphloom.functions.store import table
 from graphloom.llm.encode import encode_texts
 from graphloom.llm.groups import match_groups
 from graphloom.llm.leaks import leaked_items, without_leaks
+from graphloom.llm.pairs import answer_pairs, defective_pairs
 from graphloom.llm.spam import spam_pages
 from graphloom.llm.split import split_texts
 
@@ -52,7 +53,11 @@ def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defective_pairs(answer_pairs(table(spark, sf_dir, "agent_states")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence, p6_found)}
 
 SQL = {
     "p1_found": """
