@@ -10,6 +10,7 @@ from graphloom.llm.encode import encode_texts
 from graphloom.llm.groups import match_groups
 from graphloom.llm.leaks import leaked_items, without_leaks
 from graphloom.llm.pairs import answer_pairs, defective_pairs
+from graphloom.llm.privacy import pii_replaced, pii_rows, state_texts
 from graphloom.llm.spam import spam_pages
 from graphloom.llm.split import split_texts
 
@@ -57,7 +58,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(answer_pairs(table(spark, sf_dir, "agent_states")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence, p6_found)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_rows(state_texts(table(spark, sf_dir, "agent_states")))
+
+
+def p2_replaced(spark: SparkSession, sf_dir: str, key: bytes = b"change this key") -> DataFrame:
+    return pii_replaced(state_texts(table(spark, sf_dir, "agent_states")), key)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence, p6_found, p2_found, p2_replaced)}
 
 SQL = {
     "p1_found": """
