@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.store import table
 from graphloom.llm.encode import encode_texts
+from graphloom.llm.entities import same_things
 from graphloom.llm.groups import match_groups
 from graphloom.llm.leaks import leaked_items, without_leaks
 from graphloom.llm.pairs import answer_pairs, defective_pairs
@@ -66,7 +67,15 @@ def p2_replaced(spark: SparkSession, sf_dir: str, key: bytes = b"change this key
     return pii_replaced(state_texts(table(spark, sf_dir, "agent_states")), key)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence, p6_found, p2_found, p2_replaced)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_things(table(spark, sf_dir, "graph_nodes"), table(spark, sf_dir, "sources")).select("id_a", "id_b")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_things(table(spark, sf_dir, "graph_nodes"), table(spark, sf_dir, "sources")).withColumn("confidence", F.round("confidence", 4))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_found, p7_pieces, p8_ids, p9_found, p9_scrubbed, p10_found, p10_evidence, p6_found, p2_found, p2_replaced, p4_found, p4_confidence)}
 
 SQL = {
     "p1_found": """
