@@ -1 +1 @@
-"""See the package README for the modules here."""
+"""Graph operators over DataFrames."""
