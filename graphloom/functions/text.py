@@ -6,14 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BLANKS = " \t\n\r\x0b\x0c"
+
+
+def _trimmed(part: Column) -> Column:
+    return F.btrim(part, F.lit(_BLANKS))
+
+
 def sentences(text: Column) -> Column:
     """Parted after . ! ? and blanks; trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), _trimmed), lambda s: s != "")
 
 
 def chunks(text: Column, size: int = 4) -> Column:
     """array<struct<pos,text>>: up to ``size`` parts between full stops, joined by full stop and blank, with one at the end."""
-    parts = F.filter(F.transform(F.split(text, r"\."), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"\."), _trimmed), lambda s: s != "")
     n = F.ceil(F.size(parts) / size).cast("int")
     return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), F.concat(F.array_join(F.slice(parts, i * size + 1, F.lit(size)), ". "), F.lit(".")).alias("text"))))
 

@@ -43,7 +43,7 @@ def timeline(graph: Graph) -> DataFrame:
     """
     events = graph.labelled("Event")
     times = graph.labelled("Time").select(F.col("id").alias("dst"), F.col("props")["value"].alias("value"))
-    linked = graph.typed(*TIME_TYPES).join(events.select(F.col("id").alias("src"), "props", "source", "labels"), "src").join(times, "dst")
+    linked = graph.typed(*TIME_TYPES).select("src", "dst").join(events.select(F.col("id").alias("src"), "props", "source", "labels"), "src").join(times, "dst")
     one = linked.select(F.lit(1).alias("branch"), F.col("src").alias("n"), F.col("dst").alias("m"), F.col("props")["description"].alias("description"), "value", "source", F.get("labels", F.lit(0)).alias("label"))
     has_time = F.col("props")["time"].isNotNull()
     free = without_hop(graph, events.where(F.col("props")["timestamp"].isNotNull() & ~has_time), TIME_TYPES, "out", graph.labelled("Time"))
