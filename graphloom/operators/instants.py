@@ -159,7 +159,7 @@ def choose_readings(read: DataFrame, switch_cost: float = 1.0, back_cost: float
     """
     slack = 2 * (switch_cost + back_cost)
     raw = materialize(read, "readings")
-    one = raw.where(F.size("readings") > 0).groupBy("id", "field").agg(F.min_by(F.struct("source", "readings"), "source").alias("r")).select("id", "field", "r.*")
+    one = raw.where(F.size("readings") > 0).groupBy("id", "field").agg(F.min(F.struct("source", "readings")).alias("r")).select("id", "field", "r.*")
     least = F.array_min(F.transform("readings", lambda x: x["cost"]))
     cut = one.withColumn("readings", F.when(F.size("readings") == 1, F.col("readings")).otherwise(F.filter("readings", lambda x: x["cost"] <= least + slack))).withColumn("open", F.size("readings") > 1)
     block = F.floor(F.col("id") / chain_ids).alias("block")
