@@ -83,9 +83,17 @@ def with_readings(rows: DataFrame, text: str, tz: str, locale: str, later_pass:
     months = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS) for n in names for x in (n, i + 1)])
     zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
     r = rows.withColumn("_s", F.btrim(F.col(text), F.lit(_OUTER)))
-    c = F.col("_s")
-    for name, pattern, (y, a, b) in FORMATS:  # what one has rewritten no other one matches
-        c = F.regexp_replace(c, pattern, name + _SEP + _SEP.join(f"${i}" for i in (y, a, b, 4, 5, 6, 7, 8, 9)))
+    def parts(c: Column, *names: str) -> Column:
+        for name, pattern, (y, a, b) in FORMATS:  # what one has rewritten no other one matches
+            if name in names:
+                c = F.regexp_replace(c, pattern, name + _SEP + _SEP.join(f"${i}" for i in (y, a, b, 4, 5, 6, 7, 8, 9)))
+        return c
+
+    # the marks in fixed places tell which formats can fit, so that a text meets one or two patterns
+    s, mark = F.col("_s"), lambda i: F.substring("_s", i, 1)
+    c = (F.when(mark(5) == "-", parts(s, "iso")).when(mark(5).isin("/", "."), parts(s, "year_first"))
+         .when(mark(3).isin("/", ".", "-") | mark(2).isin("/", "-"), parts(s, "numeric")).when((mark(2) == " ") | (mark(3) == " "), parts(s, "named"))
+         .when(mark(1).between("0", "9"), parts(s, "compact", "named", "numeric")).otherwise(parts(s, "named", "named_us", "numeric")))
     r = r.withColumn("_c", F.when(F.col("_s").rlike(r"^(\d{10}|\d{13}|\d{16})$"), F.array(F.lit("epoch"))).otherwise(F.split(c, _SEP)))
     part = lambda i: F.nullif(F.get("_c", F.lit(i)), F.lit(""))
     num = lambda x: x.try_cast("int")
