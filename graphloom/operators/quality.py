@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from statistics import mean, stdev
@@ -146,3 +148,72 @@ def near_pairs(vectors: DataFrame, limit: float, key: str = "vec_id", label: str
     a = at.select(F.col(key).alias("id_a"), label, F.col(vector).alias("va"), *[F.col(f"c{d}") for d in range(dims)])
     pairs = a.join(b, [label, *[f"c{d}" for d in range(dims)]]).where("id_a < id_b").withColumn("distance", F.sqrt(squared_distance(F.col("va"), F.col("vb"))))
     return pairs.where(F.col("distance") < limit).select("id_a", "id_b", "distance")
+
+
+def _number(answer: str, pattern: str, default: float) -> float:
+    found = re.search(pattern, answer or "", re.I)
+    return float(found.group(1)) if found else default
+
+
+def coherence(triples: str, judge: Callable[[str], str]) -> Result:
+    """An injected judge's score out of ten for the story the triples tell; 0.5 where it cannot be read."""
+    answer = judge(f"Rate from 0 to 10 how well these facts form one story. Answer as JSON with score and issues.\n{triples}")
+    return Result("coherence", max(0.0, min(1.0, _number(answer, r'"score"\s*:\s*([\d.]+)', 5.0) / 10)), _listed(answer, "issues"))
+
+
+def faithfulness(triples: str, source: str, judge: Callable[[str], str], shown: int = 3000) -> Result:
+    """An injected judge's score for how far the source bears the triples out, with what it calls made up or missing."""
+    answer = judge(f"Source:\n{source[:shown]}\nFacts:\n{triples}\nAnswer as JSON with score (0 to 10), hallucinated and missing.")
+    return Result("faithfulness", max(0.0, min(1.0, _number(answer, r'"score"\s*:\s*([\d.]+)', 5.0) / 10)), [f"error: {x}" for x in _listed(answer, "hallucinated")] + [f"warning: {x}" for x in _listed(answer, "missing")])
+
+
+def narrative(triples: str, judge: Callable[[str], str]) -> Result:
+    """An injected judge's line ``SCORE: n`` out of five, 3 where there is none; 0 without triples."""
+    if not triples or triples == "(empty graph)":
+        return Result("narrative", 0.0)
+    return Result("narrative", min(5.0, _number(judge(triples), r"SCORE:\s*(\d)", 3.0)) / 5)
+
+
+def _listed(answer: str, key: str) -> list[str]:
+    found = re.search(r"\{.*\}", answer or "", re.S)
+    try:
+        return [str(x) for x in json.loads(found.group()).get(key) or []] if found else []
+    except ValueError:
+        return []
+
+
+def first_that_answers(*probes: Callable[[], Result]) -> Result:
+    """The first probe that is not skipped; one that fails scores 0.5."""
+    last = Result("none", SKIPPED)
+    for probe in probes:
+        try:
+            last = probe()
+        except Exception as error:  # noqa: BLE001
+            return Result("failed", 0.5, [f"error: {error}"])
+        if last.score >= 0:
+            return last
+    return last
+
+
+def borne_out(triples: DataFrame, source: str) -> DataFrame:
+    """(id, triple, share): the share of each triple's words that the source has; 1 - share says how far it may be made up."""
+    words = F.array_distinct(F.filter(F.split(F.lower("triple"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    known = F.array_distinct(F.split(F.lower(F.lit(source)), r"[^\p{L}\p{N}]+"))
+    return triples.select("id", "triple", F.coalesce(F.try_divide(F.size(F.array_intersect(words, known)), F.size(words)), F.lit(1.0)).alias("share"))
+
+
+def rotations(dimension: str = "link_prediction") -> Result:
+    """Trained rotation embeddings are skipped here, as they are wherever no tensor library is there."""
+    return Result(dimension, SKIPPED, ["no tensor library"])
+
+
+def triple_plausibility(scores: DataFrame, least: float = 0.3) -> DataFrame:
+    """(score): the share of given triple scores (a column ``score``) whose sigmoid is at least ``least``."""
+    p = 1 / (1 + F.exp(-F.col("score")))
+    return scores.agg(F.coalesce(F.avg((p >= least).cast("double")), F.lit(1.0)).alias("score"))
+
+
+def report(results: list[Result]) -> str:
+    """The scores, violations and recommendations as text."""
+    lines = [f"overall {overall(results):.4f}"] + [f"{r.dimension} " + ("skipped" if r.score < 0 else f"{r.score:.4f}") for r in results]
+    return "\n".join(lines + [f"- {v}" for r in results for v in r.violations[:10]] + [f"* {x}" for x in recommendations(results)[:10]])

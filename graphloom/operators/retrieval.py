@@ -56,3 +56,19 @@ def merged_context(documents: DataFrame, paths_: DataFrame) -> DataFrame:
 def relevance_route(verdict):
     """retry or answer by a judge's verdict, taken exactly: ``insufficient`` is not ``sufficient``."""
     return F.when(F.lower(F.trim(verdict)) == "sufficient", "answer").otherwise("retry")
+
+
+def ask_sql(spark, question: str, to_sql, views: dict[str, DataFrame]) -> dict:
+    """A question by an injected translator to SQL: fences taken off, checked by EXPLAIN, run; errors become part of the answer."""
+    import re
+
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    text = re.sub(r"```(?:sql)?", "", to_sql(question)).strip().rstrip(";")
+    try:
+        if not re.match(r"(?is)\s*(select|with)\b", text):
+            raise ValueError("only queries are run")
+        spark.sql(f"EXPLAIN {text}").collect()
+        return {"question": question, "sql": text, "rows": spark.sql(text), "error": None}
+    except Exception as error:  # noqa: BLE001
+        return {"question": question, "sql": text, "rows": None, "error": str(error).split("\n")[0]}

@@ -84,3 +84,19 @@ def conflicts(graph: Graph, order_type: str = "PRECEDED_BY", each: int | None =
         rows = kind(top(df), name)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def allen(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """The relation of interval a to interval b, one of Allen's thirteen; null where an end is missing or before its start."""
+    good = (a_start <= a_end) & (b_start <= b_end)
+    relation = (
+        F.when(a_end < b_start, "before").when(b_end < a_start, "after").when((a_start == b_start) & (a_end == b_end), "equals").when(a_end == b_start, "meets").when(b_end == a_start, "met by")
+        .when((a_start == b_start) & (a_end < b_end), "starts").when(a_start == b_start, "started by").when((a_end == b_end) & (a_start > b_start), "finishes").when(a_end == b_end, "finished by")
+        .when((a_start > b_start) & (a_end < b_end), "during").when((a_start < b_start) & (a_end > b_end), "contains").when(a_start < b_start, "overlaps").otherwise("overlapped by"))
+    return F.when(good, relation)
+
+
+def ascii_timeline(rows: DataFrame) -> str:
+    """A timeline short enough to print: timed entries by minutes, then the others in their order."""
+    out = [f"{r['c'] or '  ?  '} | {r['description']} [{r['source']}]" for r in rows.withColumn("c", clock(F.col("time_minutes"))).orderBy(F.asc_nulls_last("time_minutes"), "branch", "n").toLocalIterator()]
+    return "\n".join(out)

@@ -214,3 +214,27 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["props"]["name"] for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()) == ["Ann", "Zoe"]
+
+
+def test_judges_and_reports(spark, graph):
+    assert quality.coherence("t", lambda p: '{"score": 8, "issues": ["gap"]}') == quality.Result("coherence", 0.8, ["gap"]) and quality.coherence("t", lambda p: "well").score == 0.5
+    f = quality.faithfulness("t", "s", lambda p: 'so {"score": 5, "hallucinated": ["x"], "missing": ["y"]}')
+    assert f.violations == ["error: x", "warning: y"]
+    assert quality.narrative("t", lambda p: "SCORE: 4").score == 0.8 and quality.narrative("t", lambda p: "").score == 0.6 and quality.narrative("(empty graph)", lambda p: "SCORE: 5").score == 0
+    skip = lambda: quality.rotations()
+    assert quality.first_that_answers(skip, lambda: quality.Result("x", 0.3)).score == 0.3 and quality.first_that_answers(lambda: 1 / 0).score == 0.5 and quality.first_that_answers(skip).score == quality.SKIPPED
+    assert "schema 1.0000" in quality.report([quality.Result("schema", 1.0), quality.rotations()]) and "skipped" in quality.report([quality.rotations()])
+    share = {r["id"]: r["share"] for r in quality.borne_out(retrieval.triples(graph), "Ann drove the van, person vehicle").collect()}
+    assert share[4] == 1.0 and share[1] < 0.5
+    assert quality.triple_plausibility(spark.createDataFrame([(5.0,), (-5.0,)], "score double")).first()["score"] == 0.5
+
+
+def test_intervals_and_questions(spark, graph):
+    cases = {(0, 1, 2, 3): "before", (2, 3, 0, 1): "after", (0, 1, 1, 2): "meets", (1, 2, 0, 1): "met by", (0, 2, 1, 3): "overlaps", (1, 3, 0, 2): "overlapped by", (0, 1, 0, 2): "starts", (0, 2, 0, 1): "started by", (1, 2, 0, 3): "during", (0, 3, 1, 2): "contains", (1, 2, 0, 2): "finishes", (0, 2, 1, 2): "finished by", (0, 1, 0, 1): "equals", (2, 1, 0, 1): None}
+    rows = spark.createDataFrame([(*k,) for k in cases], "a int, b int, c int, d int")
+    got = {(r["a"], r["b"], r["c"], r["d"]): r["x"] for r in rows.withColumn("x", temporal.allen(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect()}
+    assert got == cases
+    assert temporal.ascii_timeline(temporal.timeline(graph)).split("\n")[0].startswith("03:30 | Fall")
+    ok = retrieval.ask_sql(spark, "how many?", lambda q: "```sql\nSELECT count(*) AS n FROM nodes;\n```", {"nodes": graph.nodes})
+    assert ok["rows"].first()["n"] == 10 and ok["error"] is None
+    assert retrieval.ask_sql(spark, "?", lambda q: "DROP TABLE nodes", {})["error"] == "only queries are run" and retrieval.ask_sql(spark, "?", lambda q: "SELECT x FROM nowhere", {})["rows"] is None
