@@ -290,3 +290,20 @@ def spec_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     rels = [(o.spec_id, r.name, r.start, r.end, r.maps_to) for o in ONTOLOGIES.values() for r in o.rels.values()]
     return (spark.createDataFrame(nodes, "spec_id string, label string, required array<string>, optional array<string>, mapping string, merge_key string"),
             spark.createDataFrame(rels, "spec_id string, rel_type string, from_label string, to_label string, mapping string"))
+
+
+def shapes_turtle(ontology: Ontology, base: str = "http://example.org/kg/") -> str:
+    """The shapes of the required properties as SHACL text."""
+    out = [f"@prefix kg: <{base}> .", "@prefix sh: <http://www.w3.org/ns/shacl#> .", "@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .", ""]
+    for n in ontology.nodes.values():
+        props = [f"  sh:property [ sh:path kg:{p} ; sh:minCount 1 ; sh:datatype xsd:string ]" for p in n.required]
+        out.append(" ;\n".join([f"kg:{n.label}Shape a sh:NodeShape ;\n  sh:targetClass kg:{n.label}", *props]) + " .")
+    return "\n".join(out)
+
+
+def conformance(graph: Graph, shapes: tuple[Shape, ...] | list[Shape]) -> DataFrame:
+    """(score): 1 less the violations per RDF triple of the graph, not below 0; 1 for an empty graph."""
+    from graphloom.sources.files import rdf_triples
+
+    n = violations(graph, shapes).agg(F.count("*").alias("broken")).join(rdf_triples(graph).agg(F.count("*").alias("triples")))
+    return n.select(F.when(F.col("triples") == 0, 1.0).otherwise(1 - F.least(F.col("broken") / F.col("triples"), F.lit(1.0))).alias("score"))

@@ -81,3 +81,39 @@ def transitions(states: DataFrame) -> DataFrame:
 def lookup(keys: DataFrame, table: DataFrame, key: str, value: str, missing: str = "not found") -> DataFrame:
     """A key-value tool: the value of each key, or a note that there is none."""
     return keys.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(missing)))
+
+
+def next_gaps(gaps: DataFrame, addressed: DataFrame, each: int = 10) -> DataFrame:
+    """The most urgent gaps not yet addressed (rule_id, entity_desc), each description once; a question round takes the first ``each``."""
+    from graphloom.ontology import priority_rank
+
+    keys = ["rule_id", "entity_desc"]
+    # a gap without a description is addressed by one without
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    left = gaps.alias("g").join(addressed.select(*keys).distinct().alias("a"), same, "left_anti").withColumn("rank", priority_rank(other=3))
+    one = left.groupBy("gap_description").agg(F.min(F.struct("rank", "rule_id", "label", "entity_desc", "priority")).alias("best")).select("gap_description", "best.*")
+    return one.orderBy("rank", "rule_id", "gap_description").limit(each)
+
+
+def follow_up(gap: dict, writer: Callable[[str], str] | None = None) -> str:
+    """A question about a gap by an injected writer, or a plain one where it has none."""
+    plain = f"Can you tell us more? {gap['gap_description']}."
+    return (writer(gap["gap_description"]) or plain).strip() if writer else plain
+
+
+def says_nothing(answer):
+    """Whether an answer brings no information."""
+    return F.lower(F.trim(F.coalesce(answer, F.lit("")))).rlike(r"^(?:|i )?(?:do(?:es)? ?n[o']t know|don't know|dont know|no idea|not sure|unknown|n/?a|none|no|skip)?[.!]*$")
+
+
+def normalised_label(label, known: tuple[str, ...], default: str):
+    """A classifier's label without case and blanks, the default where it is none of the known ones."""
+    plain = F.lower(F.trim(F.coalesce(label, F.lit(""))))
+    return F.when(plain.isin(*known), plain).otherwise(default)
+
+
+def transcript(states: DataFrame) -> DataFrame:
+    """(thread_id, step, line): the questions and answers of interviews as lines."""
+    s = states.select("thread_id", "step", F.from_json("state", "questions array<struct<question:string>>, user_answers array<string>").alias("s"))
+    both = F.arrays_zip(F.transform("s.questions", lambda q: q["question"]).alias("q"), F.col("s.user_answers").alias("a"))
+    return s.select("thread_id", "step", F.explode(both).alias("p")).select("thread_id", "step", F.concat(F.lit("Q: "), F.coalesce("p.q", F.lit("")), F.lit("\nA: "), F.coalesce("p.a", F.lit(""))).alias("line"))

@@ -50,3 +50,9 @@ def extraction_scores(predicted: DataFrame, gold: DataFrame, keys: list[str]) ->
     n = both.agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("hit"), F.count("p").alias("p"), F.count("g").alias("g"))
     pr, rc = F.try_divide("hit", "p"), F.try_divide("hit", "g")
     return n.select(pr.alias("precision"), rc.alias("recall"), F.try_divide(2 * pr * rc, pr + rc).alias("f1"))
+
+
+def rewritten(statements: DataFrame, styles: list[str], writer) -> DataFrame:
+    """(source_id, style, text): each statement in each style by an injected writer, a function from (source_id, style, prompt) to (source_id, style, text)."""
+    asked = statements.select("source_id", F.explode(F.array(*map(F.lit, styles))).alias("style"), "text")
+    return writer(asked.select("source_id", "style", F.concat(F.lit("Rewrite in the style of "), F.col("style"), F.lit(", keeping every fact:\n"), F.col("text")).alias("prompt")))

@@ -132,3 +132,8 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, sep="\t", quote="", escape="")
+
+
+def write_by_source(rows: DataFrame, path: str, source: str = "source_id") -> None:
+    """JSON records in a folder for each source."""
+    rows.write.partitionBy(source).json(path)

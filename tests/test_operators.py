@@ -238,3 +238,19 @@ def test_intervals_and_questions(spark, graph):
     ok = retrieval.ask_sql(spark, "how many?", lambda q: "```sql\nSELECT count(*) AS n FROM nodes;\n```", {"nodes": graph.nodes})
     assert ok["rows"].first()["n"] == 10 and ok["error"] is None
     assert retrieval.ask_sql(spark, "?", lambda q: "DROP TABLE nodes", {})["error"] == "only queries are run" and retrieval.ask_sql(spark, "?", lambda q: "SELECT x FROM nowhere", {})["rows"] is None
+
+
+def test_interview_helpers(spark, graph, tmp_path):
+    g = O.gaps(graph, O.SCHEMA_ORG)
+    done = spark.createDataFrame([("event_needs_location", "Fall")], "rule_id string, entity_desc string")
+    assert [(r["rule_id"], r["entity_desc"]) for r in agent.next_gaps(g, done, 2).collect()] == [("event_needs_participant", "Fall"), ("suspect_needs_description", "Ann")]
+    assert agent.follow_up({"gap_description": "x"}) == "Can you tell us more? x." and agent.follow_up({"gap_description": "x"}, lambda d: " Why? ") == "Why?"
+    assert [col(spark, a, agent.says_nothing(F.col("v"))) for a in ("I don't know.", "", None, "no idea", "It was red.", "not sure")] == [True, True, True, True, False, True]
+    assert [col(spark, a, agent.normalised_label(F.col("v"), ("qualified", "unqualified"), "unqualified")) for a in (" Qualified ", "maybe", None)] == ["qualified", "unqualified", "unqualified"]
+    st = spark.createDataFrame([("t", 0, "ask_user", '{"questions":[{"question":"When?"}],"user_answers":["now"]}')], agent.CHECKPOINT.replace(",", ", "))
+    assert agent.transcript(st).first()["line"] == "Q: When?\nA: now"
+    assert O.shapes_turtle(O.SEM).count("sh:targetClass") == 7 and 0 < O.conformance(graph, O.EVENT_SHAPES).first()["score"] < 1 and O.conformance(from_rows(spark, [], []), O.EVENT_SHAPES).first()["score"] == 1.0
+    out = training.rewritten(spark.createDataFrame([("s", "text")], "source_id string, text string"), ["brief", "formal"], lambda asked: asked.withColumnRenamed("prompt", "text"))
+    assert out.count() == 2
+    files.write_by_source(spark.createDataFrame([("s", 1)], "source_id string, x int"), str(tmp_path / "by"))
+    assert (tmp_path / "by" / "source_id=s").is_dir()
