@@ -7,9 +7,10 @@ hosts of each shingle are counted over the whole corpus, and the share of a page
 hosts carry too says how far it is stitched together from phrases replicated elsewhere. A page is
 flagged on dense lists alone, or on medium density together with replication.
 
-Shingles travel as 64-bit hashes with a hash of their host, distinct per page and combined before the shuffle;
+Shingles travel as 64-bit hashes with a hash of their host, distinct per batch of pages and combined before the shuffle;
 a shingle on every page, or a host with a third of all pages, is one counter after that. Only pages with
-some list density look their shingles up again.
+some list density look their shingles up, so all others are left out by a bit filter of fixed size
+before the shuffle; the join after it is exact, and a full filter only saves nothing.
 
 Defined cases: null, empty and blank texts are never spam; pages of fewer than ``least_words`` words neither; a null host is
 one host; hash collisions of shingles (64 bits) can only add to a count; exact repeats of a row (same doc_id) count once.
@@ -63,12 +64,12 @@ def _stuffed_words(segment: str, page: _Page) -> tuple[int, int]:
     rest = _LINK.sub(" ", segment).replace("</a>", " ").replace("</A>", " ") if links else segment
     words = _WORD.findall(rest.casefold())
     n, tokens = len(words), len(words) + 2 * len(links)
-    function = sum(w in FUNCTION_WORDS for w in words)
+    function, repeated = sum(map(FUNCTION_WORDS.__contains__, words)), n - len(set(words))
     if links and function <= 0.2 * n:
         return tokens, tokens
-    if not n:
+    if not n or n > 4 and function > 0.3 * n and 8 * repeated < n:  # prose fits none of what follows
         return 0, tokens
-    adverts = sum(w in ADVERTISING for w in words)
+    adverts = sum(map(ADVERTISING.__contains__, words))
     content = [w for w in words if len(w) > 2 and w not in FUNCTION_WORDS]
     own = Counter(content) if len(set(content)) < len(content) else {}
     again = sum(c for c in own.values() if c > 1)
@@ -104,38 +105,82 @@ def page_evidence(text: str | None) -> tuple[int, float]:
     return total, stuffed / total if total else 0.0
 
 
-def shingles(text: str | None) -> list[int]:
-    """Distinct 64-bit hashes of five words in a row; of all words where there are fewer."""
-    import xxhash
+_STEP = 0x9E3779B97F4A7C15
+_WORDS_KEPT = 500_000
+FILTER_BITS = 1 << 26
 
-    words = _WORD.findall(text.casefold()) if text else []
-    if not words:
-        return []
-    h = xxhash.xxh64_intdigest
-    got = {h(" ".join(words[i:i + SHINGLE])) for i in range(max(1, len(words) - SHINGLE + 1))}
-    return [x - (1 << 64) if x >> 63 else x for x in got]
+
+class Shingler:
+    """64-bit hashes of five words in a row, rolled over the hashes of the words; of all words where there are fewer."""
+
+    def __init__(self) -> None:
+        import numpy
+        import xxhash
+
+        self.np, self.hash, self.known = numpy, xxhash.xxh64_intdigest, {}
+
+    def of(self, text: str | None):
+        np, known = self.np, self.known
+        words = _WORD.findall(text.casefold()) if text else []
+        if not words:
+            return np.empty(0, np.uint64)
+        if len(known) > _WORDS_KEPT:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = self.hash(w)
+        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        k = min(SHINGLE, len(words))
+        rolled = codes[:len(codes) - k + 1].copy()
+        for i in range(1, k):
+            rolled = rolled * np.uint64(_STEP) + codes[i:len(codes) - k + 1 + i]
+        return np.unique(rolled)
 
 
 def page_features(documents: DataFrame, suspect: float) -> DataFrame:
     """(doc_id, words, density, shingles); shingles only of pages with at least ``suspect`` density."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
         for b in batches:
             texts = b.column(1).to_pylist()
             seen = [page_evidence(t) for t in texts]
-            own = [shingles(t) if d >= suspect else None for t, (_, d) in zip(texts, seen)]
+            own = [shingler.of(t).astype("int64") if d >= suspect else None for t, (_, d) in zip(texts, seen)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[0] for s in seen], pa.int32()), pa.array([s[1] for s in seen], pa.float64()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "words", "density", "shingles"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, words int, density double, shingles array<bigint>")
 
 
-def host_shingles(documents: DataFrame) -> DataFrame:
-    """(shingle, host), distinct per batch of pages; host is a hash of the source."""
+def asked_filter(asked: DataFrame):
+    """A bit for each asked shingle, by its low bits: FILTER_BITS bits (8 MB) however many there are."""
+    import numpy as np
+
+    bit = F.col("shingle").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = asked.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast((shingle & {FILTER_BITS - 1}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        bits[r["w"]] = r["m"]
+    return bits.view(np.uint64)
+
+
+def host_shingles(documents: DataFrame, bits) -> DataFrame:
+    """(shingle, host) of all pages, distinct per batch, for shingles whose bit is set; host is a hash of the source."""
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        shingler, bits = Shingler(), shared.value
         for b in batches:
-            pairs = {(s, h) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in shingles(t)}
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32())], ["shingle", "host"])
+            found, hosts = [], []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = shingler.of(t)
+                low = x & np.uint64(FILTER_BITS - 1)
+                x = x[(bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1]
+                found.append(x)
+                hosts.append(np.full(len(x), h, np.int32))
+            x, h = (np.concatenate(found), np.concatenate(hosts)) if found else (np.empty(0, np.uint64), np.empty(0, np.int32))
+            first = np.unique(np.stack([x, h.astype(np.int64).view(np.uint64)], axis=1), axis=0, return_index=True)[1] if len(x) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(h[first])], ["shingle", "host"])
 
     return documents.select(F.hash(F.coalesce("source", F.lit(""))).alias("host"), "text").mapInArrow(run, "shingle bigint, host int")
 
@@ -145,7 +190,7 @@ def spam_pages(documents: DataFrame, dense: float = 0.6, medium: float = 0.4, su
     features = materialize(page_features(documents, suspect), "pages")
     suspects = features.where("shingles is not null and words > 0")
     asked = suspects.select("doc_id", F.explode("shingles").alias("shingle"))
-    spread = host_shingles(documents).groupBy("shingle", "host").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts)
+    spread = host_shingles(documents, asked_filter(asked)).groupBy("shingle", "host").agg(F.lit(1).alias("one")).groupBy("shingle").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts)
     shared = asked.join(spread, "shingle", "left_semi").groupBy("doc_id").agg(F.count_distinct("shingle").alias("shared"))
     scored = suspects.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("density").alias("density"), F.max(F.size("shingles")).alias("n")).join(shared, "doc_id", "left")
     share = F.coalesce("shared", F.lit(0)) / F.col("n")
