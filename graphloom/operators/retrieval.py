@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.store import small_enough
 from graphloom.functions.text import cosine
 from graphloom.model import Graph, desc_full
 from graphloom.operators.match import paths
@@ -17,10 +18,12 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 3, key: str = "vec_id
     return vectors.select(key, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def seeds(graph: Graph, terms: DataFrame, each: int = 5) -> DataFrame:
-    """(term, id): the first nodes whose description contains a term, case aside."""
+def seeds(graph: Graph, terms: DataFrame, each: int = 5, most: int = 1000) -> DataFrame:
+    """(term, id): the first nodes whose description contains a term, case aside. The terms of a question are few; more than ``most`` are refused."""
+    if not small_enough(terms, most):
+        raise ValueError(f"more than {most} terms")
     nodes = graph.nodes.select("id", F.lower(desc_full()).alias("d")).where("d is not null")
-    hit = nodes.join(F.broadcast(terms.select("term", F.lower("term").alias("t")).limit(1000)), F.col("d").contains(F.col("t")))
+    hit = nodes.join(F.broadcast(terms.select("term", F.lower("term").alias("t"))), F.col("d").contains(F.col("t")))
     w = Window.partitionBy("term").orderBy("id")
     return hit.withColumn("n", F.row_number().over(w)).where(F.col("n") <= each).select("term", "id")
 
