@@ -112,3 +112,27 @@ def test_near():
         for v in (w[:i] + w[i + 1:], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1:], w[:i] + w[i + 1] + w[i] + w[i + 2:]):
             assert entities.near(w, v)
     assert not entities.near("abcdef", "abxyef") and not entities.near("abc", "abd") and Counter() == Counter()
+
+
+def test_late_and_undated_nodes_meet_the_rest(spark):
+    """p4_found: months after, without time or attribute, and with another spelling of the street."""
+    rows = [
+        person(1, "a", "Tara Ludwolan, the eyewitness near Ingvane Drive, Narbelport", role="witness", age_estimate="41", gender="f"), person(2, "b", "Ludwolen, Tara (onlooker) at Ingbane Drive in Narbelport", "2024-07-01T20:00:00Z", role="witness", age_estimate="40s", gender="f"),
+        person(3, "a", "Short man in navy anorak at Ingvane Drive, Narbelport", gender="m", role="witness", age_estimate="52"), person(4, "c", "not tall man in anorak at Ingbane Drive in Narbelport", None, gender="male", role="witness", age_estimate="52"),
+        person(5, "a", "Black pickup, plate LY24 LNX near Rasridge Hill, Narbelport", label="Vehicle", colour="black", type="pickup"), person(6, "b", "very dark saloon, plate LY24 L?X at Rasidge Hill, Narbelport", "2024-09-01T20:00:00Z", label="Vehicle", colour="black"),
+        person(7, "d", "crimson tracksuit on a man at Corner Lane, Narbelport", None, gender="male")]
+    sources = spark.createDataFrame([(s, "UTC", "en-GB") for s in "abcd"], "source_id string, tz string, locale string")
+    features = entities.node_features(spark.createDataFrame(rows, NODE), sources)
+    assert {tuple(r) for r in entities.candidate_pairs(features).collect()} == {(1, 2), (3, 4), (5, 6)}
+    got = {(r["id_a"], r["id_b"]) for r in entities.same_things(spark.createDataFrame(rows, NODE), sources).collect()}
+    assert {(1, 2), (3, 4)} <= got
+
+
+def test_near_words_share_parts_and_variants():
+    rnd = random.Random(4)
+    words = {"".join(rnd.choices("abcd", k=k)) for k in range(4, 10) for _ in range(60)}
+    for w in sorted(words):
+        for i in range(len(w)):
+            for v in (w[:i] + w[i + 1:], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1:], w[:i] + w[i + 1:i + 2] + w[i] + w[i + 2:]):
+                if entities.near(w, v):
+                    assert entities.parts(w) & entities.parts(v) and entities.variants(w) & entities.variants(v), (w, v)
