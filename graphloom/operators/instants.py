@@ -78,22 +78,30 @@ def _known_zones() -> list[str]:
     return sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix/", "right/"))) + ["UTC"]
 
 
+def _parts(c: Column, *names: str) -> Column:
+    """The text in parts where one of the named formats matches; what one has rewritten no other one matches."""
+    for name, pattern, (y, a, b) in FORMATS:
+        if name in names:
+            c = F.regexp_replace(c, pattern, name + _SEP + _SEP.join(f"${i}" for i in (y, a, b, 4, 5, 6, 7, 8, 9)))
+    return c
+
+
+def _dispatched(text: str) -> Column:
+    """As all formats, but a text meets only those that its first characters allow."""
+    s, mark = F.col(text), lambda i: F.substring(text, i, 1)
+    digit = lambda i: mark(i).between("0", "9")
+    year = F.when(mark(5) == "-", _parts(s, "iso")).when(mark(5).isin("/", "."), _parts(s, "year_first")).otherwise(_parts(s, "compact"))
+    # no day has three digits; only a dot can stand after the day of both a numeric and a named date
+    day = F.when(mark(2).isin("/", "-") | mark(3).isin("/", "-"), _parts(s, "numeric")).when((mark(2) == ".") | (mark(3) == "."), _parts(s, "named", "numeric")).otherwise(_parts(s, "named"))
+    return F.when(digit(1) & digit(2) & digit(3), year).when(digit(1), day).otherwise(_parts(s, "named", "named_us", "numeric"))
+
+
 def with_readings(rows: DataFrame, text: str, tz: str, locale: str, later_pass: float = 50.0) -> DataFrame:
     """``rows`` with ``readings`` array<struct<format,micros,cost>>, empty where the text states no instant."""
     months = F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS) for n in names for x in (n, i + 1)])
     zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
     r = rows.withColumn("_s", F.btrim(F.col(text), F.lit(_OUTER)))
-    def parts(c: Column, *names: str) -> Column:
-        for name, pattern, (y, a, b) in FORMATS:  # what one has rewritten no other one matches
-            if name in names:
-                c = F.regexp_replace(c, pattern, name + _SEP + _SEP.join(f"${i}" for i in (y, a, b, 4, 5, 6, 7, 8, 9)))
-        return c
-
-    # the marks in fixed places tell which formats can fit, so that a text meets one or two patterns
-    s, mark = F.col("_s"), lambda i: F.substring("_s", i, 1)
-    c = (F.when(mark(5) == "-", parts(s, "iso")).when(mark(5).isin("/", "."), parts(s, "year_first"))
-         .when(mark(3).isin("/", ".", "-") | mark(2).isin("/", "-"), parts(s, "numeric")).when((mark(2) == " ") | (mark(3) == " "), parts(s, "named"))
-         .when(mark(1).between("0", "9"), parts(s, "compact", "named", "numeric")).otherwise(parts(s, "named", "named_us", "numeric")))
+    c = _dispatched("_s")
     r = r.withColumn("_c", F.when(F.col("_s").rlike(r"^(\d{10}|\d{13}|\d{16})$"), F.array(F.lit("epoch"))).otherwise(F.split(c, _SEP)))
     part = lambda i: F.nullif(F.get("_c", F.lit(i)), F.lit(""))
     num = lambda x: x.try_cast("int")

@@ -86,3 +86,27 @@ def test_chain_is_the_cheapest_of_all(spark):
 
 def test_empty_tables(spark):
     assert node_instants(spark.createDataFrame([], NODES), spark.createDataFrame([], SOURCES)).count() == 0
+
+
+UNPADDED = [("gb", "3/12/2024 14:05", micros(2024, 12, 3, 14, 5)), ("us", "12/3/2024 2:30 PM", micros(2024, 12, 3, 19, 30)), ("de", "12.3.2024 10:00", micros(2024, 3, 12, 9)), ("gb", "3-12-2024 10:00", micros(2024, 12, 3, 10)), ("de", "12. März 2024 14:30", micros(2024, 3, 12, 13, 30)),
+            ("de", "Mo 03.12.2024 10:00", micros(2024, 12, 3, 9)), ("gb", "Sept. 5, 2024 10:00", micros(2024, 9, 5, 9)), ("de", "3. Mai 2024 10:00", micros(2024, 5, 3, 8)), ("gb", "2024-3-5 10:00", micros(2024, 3, 5, 10)), ("gb", "2024/3/5 10:00", micros(2024, 3, 5, 10)), ("gb", "May 5 2024 10:00", micros(2024, 5, 5, 9))]
+
+
+def test_dates_without_padding(spark):
+    nodes = spark.createDataFrame([(i, ["Event"], "Event", {}, s, t, 1) for i, (s, t, _) in enumerate(UNPADDED)], NODES)
+    got = {r["id"]: r["utc_micros"] for r in node_instants(nodes, spark.createDataFrame(KNOWN, SOURCES)).collect()}
+    assert got == {i: m for i, (_, _, m) in enumerate(UNPADDED)}
+
+
+def test_dispatch_loses_nothing_of_the_whole_chain(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators.instants import FORMATS, _dispatched, _parts
+
+    days = [f"{lead}{d}{end} {m}{sep}2024 {t}" for lead in ("", "Mo ", "Mon, ", "Montag, ") for d in ("3", "12", "03") for end in ("", ".", "st", "th") for m in ("Mai", "Sept.", "März") for sep in (" ", ", ") for t in ("9:05", "14:05:06 CET")]
+    numbers = [f"{lead}{a}{x}{b}{y}2024{c} {t}" for lead in ("", "Mo ", "Mon, ", "Mo. ") for a in ("3", "12", "03") for b in ("4", "11", "04") for x in "/.-" for y in "/.-" for c in ("", ",") for t in ("9:05", "2:30 PM")]
+    named = [f"{lead}{m} {d}{e} 2024 {t}" for lead in ("", "Mo ", "Mon, ") for m in ("May", "Sept.", "Dec") for d in ("3", "12") for e in ("", ",", "rd,") for t in ("9:05", "at 2:30 PM")]
+    first = [f"2024{x}{a}{x}{b}{t}" for x in "-/." for a in ("3", "12") for b in ("4", "04") for t in (" 9:05", "T09:05Z", ", 9:05")]
+    texts = days + numbers + named + first + ["20240701120000", "20240701T120000Z", "1700000000", "3", "", "12", "just now", "9:05"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _dispatched("t").alias("a"), _parts(F.col("t"), *[f[0] for f in FORMATS]).alias("b")).collect()
+    assert [r["t"] for r in got if r["a"] != r["b"]] == [] and {r["b"].split("\u0001")[0] for r in got if r["a"] != r["t"]} == {f[0] for f in FORMATS}
