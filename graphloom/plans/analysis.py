@@ -309,6 +309,18 @@ def jsonld_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return files.jsonld_nodes(Graph(keep, g.edges))
 
 
+@query()
+def turtle_lines_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole graph; too long to say in SQL, as literals differ by key."""
+    return files.turtle_lines(incidents(spark, sf))
+
+
+@query()
+def jsonld_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes with all their references."""
+    return files.jsonld_nodes(incidents(spark, sf))
+
+
 @query(f"""WITH {INCIDENTS} SELECT id, 'n' || src || ' -> n' || dst || ' [label="' || type || '"];' AS line FROM e""")
 def dot_lines(spark: SparkSession, sf: str) -> DataFrame:
     return files.dot_lines(incidents(spark, sf)).where("kind = 'relationship'").select("id", "line")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.store import table
 from graphloom.functions.text import source_type
-from graphloom.model import desc_full, desc_probe, has_label
+from graphloom.model import Graph, desc_full, desc_probe, has_label
 from graphloom.operators import match as M
 from graphloom.operators import write as W
 from graphloom.plans.graphs import INCIDENTS, RING, TREE, incidents, ring, trade, tree
@@ -116,9 +116,18 @@ def implicit_group_count(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {INCIDENTS} SELECT v.source, count(DISTINCT v.id) AS nodes, count(DISTINCT e.id) AS rels FROM n v LEFT JOIN e ON e.src = v.id OR e.dst = v.id WHERE v.source LIKE 'cam-%' GROUP BY v.source")
 def distinct_endpoint_count(spark: SparkSession, sf: str) -> DataFrame:
     g = incidents(spark, sf)
-    own = g.nodes.where(F.col("source").like("cam-%"))
+    return _endpoint_counts(Graph(g.nodes.where(F.col("source").like("cam-%")), g.edges))
+
+
+@query()
+def distinct_endpoint_count_all(spark: SparkSession, sf: str) -> DataFrame:
+    """For all sources; the OR join that states it would be slow."""
+    return _endpoint_counts(incidents(spark, sf))
+
+
+def _endpoint_counts(g: Graph) -> DataFrame:
     steps = M.oriented(g.edges, "both").select(F.col("u").alias("id"), "edge_id")
-    return own.select("id", "source").join(steps, "id", "left").groupBy("source").agg(F.count_distinct("id").alias("nodes"), F.count_distinct("edge_id").alias("rels"))
+    return g.nodes.select("id", "source").join(steps, "id", "left").groupBy("source").agg(F.count_distinct("id").alias("nodes"), F.count_distinct("edge_id").alias("rels"))
 
 
 @query(f"WITH {INCIDENTS} SELECT e.src AS id, array_to_string(list_sort(list(DISTINCT e.type)), ',') AS types FROM e GROUP BY e.src")

@@ -53,3 +53,24 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["nation", "n"] and entry.entry(spark).count() > 0
+
+
+def test_whole_graph_queries(spark, tmp_path):
+    """turtle_lines, jsonld_nodes and distinct_endpoint_count without their cuts: all labels, properties, references and sources."""
+    import json
+
+    import __spark_entry__ as entry
+
+    nodes = [(1, ["Person"], "Person", {"name": "Ann", "role": None, "gender": "f"}, "desk-1"), (1, ["Person"], "Person", {"name": "Ann", "role": None, "gender": "f"}, "desk-1"), (2, ["Vehicle"], "Vehicle", {"colour": "red"}, "cam-1"), (3, ["Location"], "Location", {"description": "Main St", "type": "road"}, None)]
+    spark.createDataFrame(nodes, "id bigint, labels array<string>, label string, props map<string,string>, source string").write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    edges = [(7, 1, 2, "DROVE", {}), (8, 1, 3, "DROVE", {}), (8, 1, 3, "DROVE", {}), (9, 2, 2, "SELF", {}), (10, 1, 99, "DROVE", {})]
+    spark.createDataFrame(edges, "id bigint, src bigint, dst bigint, type string, props map<string,string>").write.parquet(str(tmp_path / "graph_edges.parquet"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    lines = [(r["kind"], r["id"], r["line"]) for r in run("turtle_lines_all")]
+    assert sorted(x[:2] for x in lines) == [("node", 1), ("node", 2), ("node", 3), ("relationship", 7), ("relationship", 8), ("relationship", 9)]
+    one = next(x[2] for x in lines if x[:2] == ("node", 1))
+    assert one.startswith("node:1\n    a ") and 'rdfs:label "Ann"' in one and 'evt:gender "f"' in one and "role" not in one
+    ld = {r["id"]: json.loads(r["json"]) for r in run("jsonld_nodes_all")}
+    ref = lambda i: {"@id": f"urn:event-twin:node:{i}"}
+    assert set(ld) == {1, 2, 3} and ld[1]["drove"] == [ref(2), ref(3)] and ld[2]["self"] == ref(2) and ld[1]["gender"] == "f" and "role" not in ld[1]
+    assert {tuple(r) for r in run("distinct_endpoint_count_all")} == {("desk-1", 1, 2), ("cam-1", 1, 2), (None, 1, 1)}
