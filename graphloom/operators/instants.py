@@ -6,17 +6,18 @@ along each source's record order, the cheapest chain of readings is chosen (Vite
 ``switch_cost`` where the format changes and ``back_cost`` where time jumps back.
 
 The chain is exact and yet cheap. A reading whose cost exceeds the least one by more than all that
-two steps can cost is never chosen, so it is cut before; what has one reading left is an anchor
-and needs no search. Only open records and the anchors around them are brought together, in chains
-of ``chain_ids`` consecutive record ids of a source, so that a source with a third of all rows is
-spread over many tasks. Parsing is done by regular expressions and date functions in the JVM.
+two steps can cost is never chosen, so it is cut before; what has one reading left is an anchor, and what lies beyond an anchor
+says nothing about the records before it. So a source's records fall into segments between two anchors, which are solved apart, wherever they are; a source with
+a third of all rows is many segments. Where the locale of a source is known, nothing is left open after the cut, and its least
+reading is taken at once, with no more than one shuffle of ids and instants; only sources without locale are searched.
+Parsing is done by regular expressions and date functions in the JVM.
 
 Defined cases: outer blanks do not count; null, empty, vague, relative and impossible content gives
 no reading; a zone or offset in the text decides; else the source's zone, and without one no reading;
 10, 13 and 16 digits are epoch seconds, milli- and microseconds, 14 digits a local reading; numeric
 dates with the year last follow the source's locale, and both orders are open where it is null;
 a repeated local time means its earlier instant, a skipped one takes the offset before the change;
-a date alone is no instant; digits beyond microseconds are dropped.
+a date alone is no instant; digits beyond microseconds are dropped; of differing rows of one id the earliest instant counts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import zoneinfo
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.store import materialize
@@ -168,27 +169,36 @@ def _chain(frame: pd.DataFrame, switch_cost: float, back_cost: float) -> pd.Data
     return frame[["id", "field", "open"]].assign(utc_micros=out)
 
 
-def choose_readings(read: DataFrame, switch_cost: float = 1.0, back_cost: float = 4.0, chain_ids: int = 4096) -> DataFrame:
+def choose_readings(read: DataFrame, switch_cost: float = 1.0, back_cost: float = 4.0, block_ids: int = 4096) -> DataFrame:
     """(id, field, utc_micros) from rows (id, field, source, readings): Viterbi along each source's ids.
 
-    Chains start anew every ``chain_ids`` ids, which bounds what one task holds.
+    ``block_ids`` says how many ids are numbered at once; it does not change the result.
     """
     slack = 2 * (switch_cost + back_cost)
-    raw = materialize(read, "readings")
+    # written first: a filter on readings would be pushed below their parsing, and state it again and again
+    raw = materialize(read, "read")
     one = raw.where(F.size("readings") > 0).groupBy("id", "field").agg(F.min(F.struct("source", "readings")).alias("r")).select("id", "field", "r.*")
     least = F.array_min(F.transform("readings", lambda x: x["cost"]))
-    cut = one.withColumn("readings", F.when(F.size("readings") == 1, F.col("readings")).otherwise(F.filter("readings", lambda x: x["cost"] <= least + slack))).withColumn("open", F.size("readings") > 1)
-    block = F.floor(F.col("id") / chain_ids).alias("block")
-    found = cut.where(~F.col("open"))
-    open_ = cut.where("open")
-    chains = open_.select(F.coalesce("source", F.lit("")).alias("chain"), "field", block).distinct()
-    around = cut.withColumns({"chain": F.coalesce("source", F.lit("")), "block": F.floor(F.col("id") / chain_ids)}).join(chains, ["chain", "field", "block"], "left_semi")
+    cut = materialize(one.select("id", "field", F.coalesce("source", F.lit("")).alias("chain"), F.filter("readings", lambda x: x["cost"] <= least + slack).alias("readings")).withColumn("open", F.size("readings") > 1), "readings")
+    found = cut.where(~F.col("open")).select("id", "field", F.get("readings", F.lit(0))["micros"].alias("utc_micros"))
+    if cut.where("open").isEmpty():
+        return found
+    # anchors are numbered along the chain: within blocks of ids, and over the blocks by their totals
+    blocks = cut.join(cut.where("open").select("chain", "field").distinct(), ["chain", "field"], "left_semi").withColumn("block", F.floor(F.col("id") / block_ids))
+    anchor = (~F.col("open")).cast("bigint")
+    totals = blocks.groupBy("chain", "field", "block").agg(F.sum(anchor).alias("n"))
+    before = totals.withColumn("base", F.sum("n").over(Window.partitionBy("chain", "field").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = blocks.withColumn("k", F.sum(anchor).over(Window.partitionBy("chain", "field", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))).join(before.drop("n"), ["chain", "field", "block"])
+    k = F.coalesce("base", F.lit(0)) + F.col("k")
+    # a segment is the open records behind an anchor, with that anchor and the next one
+    parts = numbered.withColumn("segment", F.explode(F.when(F.col("open"), F.array(k)).otherwise(F.array(k, k - 1))))
+    parts = parts.join(parts.where("open").select("chain", "field", "segment").distinct(), ["chain", "field", "segment"], "left_semi").select("chain", "field", "segment", "id", "open", "readings")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         return _chain(frame, switch_cost, back_cost)
 
-    chosen = around.groupBy("chain", "field", "block").applyInPandas(solve, "id bigint, field string, open boolean, utc_micros bigint").where("open")
-    return found.select("id", "field", F.get("readings", F.lit(0))["micros"].alias("utc_micros")).unionByName(chosen.select("id", "field", "utc_micros"))
+    chosen = parts.groupBy("chain", "field", "segment").applyInPandas(solve, "id bigint, field string, open boolean, utc_micros bigint").where("open")
+    return found.unionByName(chosen.select("id", "field", "utc_micros"))
 
 
 def node_times(nodes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -202,7 +212,13 @@ def node_times(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(zones, "source", "left")
 
 
-def node_instants(nodes: DataFrame, sources: DataFrame, **costs: float) -> DataFrame:
+def node_instants(nodes: DataFrame, sources: DataFrame, switch_cost: float = 1.0, back_cost: float = 4.0, later_pass: float = 50.0) -> DataFrame:
     """(id, field, utc_micros): one row for each node id and field that states one definite instant."""
-    read = with_readings(node_times(nodes, sources), "text", "tz", "locale")
-    return choose_readings(read.select("id", "field", "source", "readings"), **costs)
+    rows = node_times(nodes, sources)
+    if later_pass <= 2 * (switch_cost + back_cost):
+        return choose_readings(with_readings(rows, "text", "tz", "locale", later_pass).select("id", "field", "source", "readings"), switch_cost, back_cost)
+    # with a locale the first reading is the least one, and no other is within reach
+    told = with_readings(rows.where("locale is not null"), "text", "tz", "locale", later_pass).select("id", "field", F.get("readings", F.lit(0))["micros"].alias("utc_micros"))
+    untold = with_readings(rows.where("locale is null"), "text", "tz", "locale", later_pass)
+    chosen = choose_readings(untold.select("id", "field", "source", "readings"), switch_cost, back_cost)
+    return told.unionByName(chosen).groupBy("id", "field").agg(F.min("utc_micros").alias("utc_micros")).where("utc_micros is not null")

@@ -110,3 +110,37 @@ def test_dispatch_loses_nothing_of_the_whole_chain(spark):
     texts = days + numbers + named + first + ["20240701120000", "20240701T120000Z", "1700000000", "3", "", "12", "just now", "9:05"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _dispatched("t").alias("a"), _parts(F.col("t"), *[f[0] for f in FORMATS]).alias("b")).collect()
     assert [r["t"] for r in got if r["a"] != r["b"]] == [] and {r["b"].split("\u0001")[0] for r in got if r["a"] != r["t"]} == {f[0] for f in FORMATS}
+
+
+def test_segments_between_anchors_give_the_whole_chain(spark):
+    """p3_found: numbering by blocks of few ids changes nothing, and many records are decided by the chain alone."""
+    import pandas as pd
+
+    from graphloom.operators.instants import _chain
+
+    rnd = random.Random(11)
+    rows, want, alone = [], {}, 0
+    for source in ("a", "b"):
+        frame = []
+        for i in range(source == "b", 600, 2):
+            n = 1 if rnd.random() < 0.2 else 2
+            options = [{"format": rnd.choice("xy"), "micros": i * 10 + rnd.randrange(-40, 40), "cost": float(k)} for k in range(n)]
+            frame.append((i, "f", n > 1, options))
+            rows.append((i, "f", source, [(o["format"], o["micros"], o["cost"]) for o in options]))
+        solved = _chain(pd.DataFrame(frame, columns=["id", "field", "open", "readings"]), 1.0, 4.0)
+        want |= dict(zip(solved["id"], solved["utc_micros"]))
+        alone += sum(m != options[0]["micros"] for (_, _, _, options), m in zip(frame, solved["utc_micros"]))
+    read = spark.createDataFrame(rows, "id bigint, field string, source string, readings array<struct<format:string,micros:bigint,cost:double>>")
+    for size in (5, 64, 4096):
+        got = {r["id"]: r["utc_micros"] for r in choose_readings(read, block_ids=size).collect()}
+        assert got == want
+    assert alone > 50
+
+
+def test_a_source_without_locale_is_read_by_its_records(spark):
+    """p3_found: day or month first is told only by the records around; without Viterbi half of these would be wrong."""
+    days = [datetime(2024, 1, 1, 10) + timedelta(days=k) for k in range(0, 360, 2)]
+    rows = [(i, ["Event"], "Event", {}, "open", f"{d:%m/%d/%Y} 10:00", 1) for i, d in enumerate(days)]
+    got = {r["id"]: r["utc_micros"] for r in node_instants(spark.createDataFrame(rows, NODES), spark.createDataFrame([("open", "UTC", None, None)], SOURCES)).collect()}
+    right = sum(got[i] == micros(d.year, d.month, d.day, 10) for i, d in enumerate(days))
+    assert len(got) == len(days) and right > 0.95 * len(days)
