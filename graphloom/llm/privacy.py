@@ -5,11 +5,10 @@ grammars of how they are written (also disguised, spelled out or in other case),
 names, by titles, and by the phrases in which statements introduce a person. A surname once found
 is found again in the same text.
 
-Replacements are keyed: an HMAC of the entity chooses a surrogate of the same kind, gender, script
-and format (case, initials, separators, letters and digits in place), so that one entity gets the
-same surrogate in every text (coreference), and without the key nobody gets back. Within a text
-surrogates are checked against each other and against the text; a collision is drawn anew, so
-distinct entities stay distinct. Placeholders carry the kind and a keyed mark.
+Replacements are keyed. Surrogates are permutations: all words of one form (script, length, vowels and consonants,
+digits, case) are permuted by a keyed Feistel network, listed given names within their gender. So one entity gets the same
+surrogate in every text (coreference), two entities never the same one in the whole corpus, nothing stays as it was, and
+without the key nobody gets back. Within a text this is checked once more. Placeholders carry the kind and 64 keyed bits.
 
 Each text is handled where it is read; nothing is shuffled but the found rows.
 
@@ -21,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,10 +46,6 @@ TITLES = "Dr Mr Mrs Ms Miss Mx Prof Professor Sir Dame Rev PC WPC PCSO DC DS DI
 # Kinds of streets.
 STREETS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Close|Crescent|Hill|Way|Walk|Row|Parade|Court|Place|Terrace|Gardens|Square|Boulevard|Blvd|Grove|Mews|Rise|View|Green|Park|Yard"
 STREET_ENDS = "weg|straße|strasse|str\\.|gasse|allee|platz|ufer|damm|ring"
-# Syllables of surrogate surnames and streets.
-ONSETS = "Alder Barn Calder Dun East Fair Gran Hart Ives Kes Lang Mayn Nor Oak Pen Rook Stan Thorn Under West".split()
-CODAS = "bridge brook combe dale field ford gate ham hurst ley man more ridge son stone ton well wick wood worth".split()
-
 _GIVEN = frozenset(f"{FEMALE} {MALE} {NEUTRAL}".lower().split())
 _TITLE = r"(?:" + "|".join(TITLES) + r")\b\.?"
 _L = r"[^\W\d_]"
@@ -175,12 +172,13 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
             b = m.start("name") + len(words[0])
         if span := _name_span(text, m.start("name"), b, strict=True):
             add(*span, "name")
-    for m in _WORD.finditer(text):
+    at = 0
+    while m := _WORD.search(text, at):
         given, sur = m.group("given"), m.group("sur")
-        if given.lower() not in _GIVEN or sur.lower() in _NOT_NAMES or len(sur) < 3:
-            continue
-        if given[0].isupper() and sur[0].isupper():
+        named = given.lower() in _GIVEN and sur.lower() not in _NOT_NAMES and len(sur) >= 3 and given[0].isupper() and sur[0].isupper()
+        if named:
             add(*m.span(), "name")
+        at = m.end() if named else m.end("given")  # what is no given name may stand before one
     for m in _INITIAL.finditer(text):
         if span := _name_span(text, *m.span("name"), strict=True):
             add(*span, "name")
@@ -193,80 +191,139 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+# Letters that stand for each other, by script: vowels and consonants.
+ALPHABETS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+_CLASS = {c: letters for letters in (*ALPHABETS, "0123456789") for c in letters}
+# Words of addresses and written-out e-mails that stay.
+_KEPT = frozenset(f"{STREETS}|flat|apt|apartment|unit|suite|studio|room|wohnung|appt|rue|calle|avenida|plaza|paseo|via|viale|piazza|chemin|allée|impasse|quai|bis|ter|de|la|le|du|des|del|at|dot|underscore|dash|hyphen|minus".lower().split("|"))
+_DIGIT_WORDS = {w: tuple(ws.split()) for ws in (
+    "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for w in ws.split()}
+
+
+def _letters(c: str) -> str:
+    """The letters among which ``c``, a letter or digit without case, may be changed: of its alphabet, else those of its block of the same kind."""
+    if c not in _CLASS:
+        start = ord(c) & ~0x7F
+        kind = unicodedata.category(c)
+        block = "".join(x for x in map(chr, range(start, start + 0x80)) if unicodedata.category(x) == kind and x == x.lower() and x not in _CLASS and len(unicodedata.normalize("NFD", x)) == 1 and len(x.upper()) == 1)
+        _CLASS[c] = block if c in block else c
+    return _CLASS[c]
+
+
 class Surrogates:
-    """Keyed replacements that keep kind, gender, format and distinctness."""
+    """Keyed replacements: a permutation of all words of one form, so what differs stays different over the whole corpus.
+
+    Each letter or digit may become one of its class (vowel or consonant of its script, digit); the word is a number in the mixed base of these
+    classes, and a keyed Feistel network permutes those numbers. Conjugated with a step by one it leaves no word as it was. Listed
+    given names are permuted among those of their gender, other words never become one of them.
+    """
 
     def __init__(self, key: bytes) -> None:
-        self.key = key
-
-    def draw(self, kind: str, value: str, turn: int = 0) -> int:
-        return int.from_bytes(hmac.new(self.key, f"{kind}\0{' '.join(value.casefold().split())}\0{turn}".encode(), hashlib.sha256).digest()[:16], "big")
-
-    @staticmethod
-    def _cased(model: str, word: str) -> str:
-        return word.upper() if model.isupper() and len(model) > 1 else word.lower() if model.islower() else word
-
-    def _surname(self, part: str, turn: int) -> str:
-        n = self.draw("surname", part, turn)
-        return self._cased(part, ONSETS[n % len(ONSETS)] + CODAS[n // 64 % len(CODAS)])
-
-    def _name_word(self, word: str, last: bool, turn: int) -> str:
-        bare = word.rstrip(".,")
-        if len(bare) == 1:
-            return self._cased(bare, chr(65 + self.draw("initial", bare, turn) % 26)) + word[len(bare):]
-        if last:
-            return "-".join(self._surname(p, turn) for p in word.split("-"))
-        low = word.lower()
-        pool = (FEMALE if low in FEMALE.lower().split() else MALE if low in MALE.lower().split() else NEUTRAL).split()
-        return self._cased(word, pool[self.draw("given", word, turn) % len(pool)])
-
-    def _shape(self, kind: str, value: str, turn: int, keep: int = 0) -> str:
-        n, out = self.draw(kind, value, turn), []
-        for i, c in enumerate(value):
-            n, r = divmod(n, 10) if c.isdigit() else divmod(n, 26) if c.isalpha() else (n, 0)
-            if n == 0:
-                n = self.draw(kind, value + str(i), turn)
-            out.append(c if i < keep else str(r) if c.isdigit() else (chr((65 if c.isupper() else 97) + r) if c.isascii() and c.isalpha() else c))
-        return "".join(out)
-
-    def of(self, kind: str, value: str, turn: int = 0) -> str:
-        if kind == "name":
-            words = value.split()
-            return " ".join(self._name_word(w, i + 1 == len(words), turn) for i, w in enumerate(words))
-        if kind == "email":
-            n = self.draw(kind, value, turn)
-            user = f"{ONSETS[n % len(ONSETS)]}.{CODAS[n // 64 % len(CODAS)]}{n // 4096 % 9000 + 1000}".lower()
-            return self._cased(value, f"{user}@mail.example")
-        if kind == "address":
-            n = self.draw(kind, value, turn)
-            numbers = self._shape("house", value, turn)
-            street = ONSETS[n % len(ONSETS)] + CODAS[n // 64 % len(CODAS)]
-            town = ONSETS[n // 4096 % len(ONSETS)] + CODAS[n // 262144 % len(CODAS)]
-            names = iter([street, town, town])
-            return re.sub(rf"\b(?!(?:{STREETS}|Flat|Apt|Apartment|Unit)\b){_L}{{3,}}", lambda m: self._cased(m.group(), next(names, town)), re.sub(r"\d", lambda m: numbers[m.start()], value))
-        if kind == "phone" and not any(c.isdigit() for c in value):
-            return re.sub(r"\w+", lambda m: "zero one two three four five six seven eight nine".split()[self.draw(kind, value + str(m.start()), turn) % 10], value)
-        return self._shape(kind, value, turn, keep=2 if kind == "phone" else 0)
+        if not key:
+            raise ValueError("a key is needed")
+        self.key, self.known = key, {}
+        self.given = {n: tuple(names) for names in (FEMALE.lower().split(), MALE.lower().split(), NEUTRAL.lower().split()) for n in names}
+
+    def _round(self, tweak: str, i: int, x: int, size: int) -> int:
+        need = size.bit_length() // 8 + 9
+        return int.from_bytes(hashlib.shake_256(self.key + f"\0{tweak}\0{i}\0{x}".encode()).digest(need), "big") % size
+
+    def _permuted(self, x: int, size: int, tweak: str, back: bool = False) -> int:
+        """A keyed permutation of range(size): a Feistel network over a little more, walked until it is inside."""
+        a = math.isqrt(size - 1) + 1
+        while True:
+            left, right = divmod(x, a)
+            for i in range(7, -1, -1) if back else range(8):
+                left, right = ((right - self._round(tweak, i, left, a)) % a, left) if back else (right, (left + self._round(tweak, i, right, a)) % a)
+            x = left * a + right
+            if x < size:
+                return x
+
+    def moved(self, x: int, size: int, tweak: str) -> int:
+        """Another number below ``size``: a permutation without fixed points."""
+        return x if size < 2 else self._permuted((self._permuted(x, size, tweak) + 1) % size, size, tweak, back=True)
+
+    def _word(self, text: str, kind: str) -> str:
+        """Letters and digits of a word or number replaced; marks, other characters and case stay where they are."""
+        plain = unicodedata.normalize("NFD", text)
+        low = [c.lower() if len(c.lower()) == 1 else c for c in plain]
+        at = [i for i, c in enumerate(low) if (c.isalpha() or c.isdigit()) and len(_letters(c)) > 1]
+        classes = [_letters(low[i]) for i in at]
+        size, x = 1, 0
+        for i, letters in zip(at, classes):
+            size, x = size * len(letters), x * len(letters) + letters.index(low[i])
+        kept = set(at)
+        form = kind + "".join(c[0] for c in classes) + "\0" + "".join(c for i, c in enumerate(low) if i not in kept)
+        while True:
+            x = self.moved(x, size, form)
+            n, out = x, list(plain)
+            for i, letters in zip(reversed(at), reversed(classes)):
+                n, r = divmod(n, len(letters))
+                out[i] = letters[r].upper() if plain[i].isupper() else letters[r]
+            new = unicodedata.normalize("NFC", "".join(out))
+            if size < 2 or kind != "name" or new.lower() not in self.given:
+                return new
+
+    def _name(self, word: str) -> str:
+        pool = self.given.get(word.lower())
+        if not pool:
+            return self._word(word, "name")
+        new = pool[self.moved(pool.index(word.lower()), len(pool), "given" + pool[0])].capitalize()
+        return new.upper() if word.isupper() and len(word) > 1 else new.lower() if word.islower() else new
+
+    def of(self, kind: str, value: str) -> str:
+        """The surrogate of a personal text: same kind, gender, script, length of words and format."""
+        if (kind, value) not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            if kind == "name":
+                new = re.sub(r"[^\W\d_]+", lambda m: self._name(m.group()), value)
+            elif kind in ("address", "email"):
+                new = re.sub(r"[^\W_]+", lambda m: m.group() if m.group().lower() in _KEPT else self._word(m.group(), kind), value)
+                if kind == "email":  # a domain that can belong to nobody; the whole of the old one is still told apart
+                    new += " dot example" if re.search(r"\sdot\s", value) else ".example"
+            elif kind == "phone" and not any(c.isdigit() for c in value):
+                new = self._spelled(value)
+            else:  # the country or trunk code of a number stays
+                keep = re.match(r"\+\s?\d|\(?0", value).end() if kind == "phone" and re.match(r"\+\s?\d|\(?0", value) else 0
+                new = value[:keep] + self._word(value[keep:], kind)
+            self.known[kind, value] = new
+        return self.known[kind, value]
+
+    def _spelled(self, value: str) -> str:
+        words = re.findall(r"\w+", value)
+        pools = [_DIGIT_WORDS.get(w.lower()) for w in words]
+        size, x = 1, 0
+        for w, pool in zip(words, pools):
+            if pool:
+                size, x = size * 10, x * 10 + pool.index(w.lower())
+        x = self.moved(x, size, "spelled" + " ".join(p[0] if p else w.lower() for w, p in zip(words, pools)))
+        new = []
+        for w, pool in zip(reversed(words), reversed(pools)):
+            if pool:
+                x, r = divmod(x, 10)
+                w = pool[r].upper() if w.isupper() else pool[r].capitalize() if w[0].isupper() else pool[r]
+            new.append(w)
+        last = iter(reversed(new))
+        return re.sub(r"\w+", lambda m: next(last), value)
+
+    def mark(self, kind: str, value: str) -> str:
+        """A typed placeholder with 64 keyed bits of the entity."""
+        whole = f"{kind}\0{' '.join(value.casefold().split())}".encode()
+        return f"[{kind.upper()}_{hmac.new(self.key, whole, hashlib.sha256).hexdigest()[:16]}]"
 
     def replace(self, text: str | None, placeholders: bool = False) -> str | None:
         """The text with its personal information replaced."""
         spans = find_pii(text)
         if not spans:
             return text
-        given: dict[tuple[str, str], str] = {}
-        used: set[str] = set()
-        out, last = [], 0
+        out, last, given = [], 0, {}
         for a, b, kind in spans:
             value = text[a:b]
-            same = (kind, " ".join(value.casefold().split()))
-            if same not in given:
-                for turn in range(1000):
-                    new = f"[{kind.upper()}_{self.draw(kind, value, turn) % 46656:05d}]" if placeholders else self.of(kind, value, turn)
-                    if new.casefold() not in used and new.casefold() not in text.casefold():
-                        break
-                used.add(new.casefold())
-                given[same] = new
-            out += [text[last:a], given[same] if placeholders or kind != "name" else self._cased(value, given[same])]
+            new = self.mark(kind, value) if placeholders else self.of(kind, value)
+            if given.setdefault((kind, new), value.casefold()) != value.casefold() and " ".join(given[kind, new].split()) != " ".join(value.casefold().split()):
+                raise ValueError("two entities met in one surrogate")  # a permutation cannot do that
+            out += [text[last:a], new]
             last = b
         return "".join(out) + text[last:]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,19 +22,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "fusion_matches"))
 
 
-def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rag = table(spark, sf_dir, "rag_documents").select(F.lit("rag_documents").alias("origin"), "id", F.col("content").alias("text"))
     src = table(spark, sf_dir, "source_documents").select(F.lit("source_documents").alias("origin"), "id", "text")
-    return rag.unionByName(src).where("length(text) > 1200")
+    return rag.unionByName(src)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a text is over the limit exactly when it has a second piece
-    return split_texts(_long_texts(spark, sf_dir), "text").where("piece_no = 1").select("origin", "id").distinct()
+    return split_texts(_texts(spark, sf_dir), "text").where("piece_no = 1").select("origin", "id").distinct()
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_texts(_long_texts(spark, sf_dir).distinct(), "text")
+    return split_texts(_texts(spark, sf_dir).distinct(), "text").where("n_pieces > 1")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_rows(state_texts(table(spark, sf_dir, "agent_states")))
 
 
-def p2_replaced(spark: SparkSession, sf_dir: str, key: bytes = b"change this key") -> DataFrame:
+def p2_replaced(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """With ``key``, or that of the setting graphloom.pii.key; where neither is given, a fresh one, whose surrogates agree within this run only."""
+    key = key or spark.conf.get("graphloom.pii.key", "").encode() or secrets.token_bytes(32)
     return pii_replaced(state_texts(table(spark, sf_dir, "agent_states")), key)
 
 
