@@ -42,6 +42,7 @@ _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _LINK = re.compile(r"<a\s[^>]*>|\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?:(?<=\s)|^)#[^\W\d_][\w-]*", re.I)
 _SEGMENT = re.compile(r"[\r\n  ]+|(?<=[.!?。！？])(?:\s+|(?=[^\s\d\x00-\x7f]))")
 _ITEM = re.compile(r"[,;·|»›>•/\t]|\s[-–—]\s|\s\*\s")
+_NUMBER = re.compile(r"\d+")
 _UNSPACED = re.compile("[\u3040-\u30ff\u4e00-\u9fff\u0e00-\u0e7f]")  # scripts whose words are not parted
 _RECORD = re.compile(r"\d{1,2}:\d{2}|-\[|\]->|^\s*[\[{(\"}]|^\s*[QA]:|\t|^\s*[\w -]{2,30}:\s")
 
@@ -121,7 +122,7 @@ class Shingler:
 
     def of(self, text: str | None):
         np, known = self.np, self.known
-        words = _WORD.findall(text.casefold()) if text else []
+        words = _WORD.findall(_NUMBER.sub("9", text.casefold())) if text else []  # prices and counts do not make another phrase
         if not words:
             return np.empty(0, np.uint64)
         if len(known) > _WORDS_KEPT:
@@ -177,12 +178,12 @@ def host_shingles(documents: DataFrame, bits) -> DataFrame:
                 low = x & np.uint64(FILTER_BITS - 1)
                 x = x[(bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1]
                 found.append(x)
-                hosts.append(np.full(len(x), h, np.int32))
-            x, h = (np.concatenate(found), np.concatenate(hosts)) if found else (np.empty(0, np.uint64), np.empty(0, np.int32))
-            first = np.unique(np.stack([x, h.astype(np.int64).view(np.uint64)], axis=1), axis=0, return_index=True)[1] if len(x) else np.empty(0, np.int64)
+                hosts.append(np.full(len(x), h, np.int64))
+            x, h = (np.concatenate(found), np.concatenate(hosts)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            first = np.unique(np.stack([x, h.view(np.uint64)], axis=1), axis=0, return_index=True)[1] if len(x) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(h[first])], ["shingle", "host"])
 
-    return documents.select(F.hash(F.coalesce("source", F.lit(""))).alias("host"), "text").mapInArrow(run, "shingle bigint, host int")
+    return documents.select(F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), "text").mapInArrow(run, "shingle bigint, host bigint")
 
 
 def spam_pages(documents: DataFrame, dense: float = 0.6, medium: float = 0.4, suspect: float = 0.25, hosts: int = 3, replicated: float = 0.5, least_words: int = 8) -> DataFrame:
