@@ -58,3 +58,8 @@ def cosine(a: Column, b: Column) -> Column:
     """Null where one of the vectors has no length."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size > 0, dot(a, b) / size)
+
+
+def same_name(a: Column, b: Column, most: int = 2) -> Column:
+    """Whether two names are equal or at most ``most`` letters apart, titles and case aside."""
+    return F.levenshtein(plain_name(a), plain_name(b), most) >= 0

@@ -56,16 +56,30 @@ def has_label(*labels: str) -> Column:
 
 @dataclass(frozen=True)
 class Graph:
-    """An immutable graph; every change makes a new one, so a snapshot is a reference."""
+    """An immutable graph; every change makes a new one, so a snapshot is a reference.
+
+    ``node_rows`` and ``edge_rows`` are the rows that ``nodes`` and ``edges`` come from while exact repeats are still among them:
+    labels and types are then chosen before repeats are taken out, so that the filter stands at the scan and only what is asked for is shuffled.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    node_rows: DataFrame | None = None
+    edge_rows: DataFrame | None = None
 
     def labelled(self, *labels: str) -> DataFrame:
-        return self.nodes.where(has_label(*labels))
+        return self.nodes.where(has_label(*labels)) if self.node_rows is None else self.node_rows.where(has_label(*labels)).dropDuplicates(["id"])
+
+    def links(self, *types: str) -> DataFrame:
+        """Relationships of these types (of all, if none is given), for patterns that look both ends up themselves: those that point nowhere are still there."""
+        rows = self.edges if self.edge_rows is None else self.edge_rows
+        rows = rows.where(F.col("type").isin(*types)) if types else rows
+        return rows if self.edge_rows is None else rows.dropDuplicates(["id"])
 
     def typed(self, *types: str) -> DataFrame:
-        return self.edges.where(F.col("type").isin(*types))
+        if self.edge_rows is None:
+            return self.edges.where(F.col("type").isin(*types))
+        return with_both_ends(self.links(*types), self.node_rows if self.node_rows is not None else self.nodes)
 
     def where_nodes(self, condition: Column) -> "Graph":
         return Graph(self.nodes.where(condition), self.edges)
@@ -74,6 +88,12 @@ class Graph:
         return change(self)
 
 
+def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Relationships whose ends are nodes."""
+    ids = lambda c: nodes.select(F.col("id").alias(c))
+    return edges.join(ids("src"), "src", "left_semi").join(ids("dst"), "dst", "left_semi").select("id", "src", "dst", "type", "props")
+
+
 def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict]) -> Graph:
     """A graph from Python rows; missing fields are null and label is labels[0]."""
     n = [tuple((r.get("labels") or [None])[0] if f == "label" and "label" not in r else r.get(f) for f in NODE_SCHEMA.names) for r in nodes]

@@ -231,7 +231,7 @@ def outside_vocabulary(graph: Graph, ontology: Ontology) -> DataFrame:
 
 @dataclass(frozen=True)
 class Shape:
-    """A constraint on nodes of some labels; kind is min_count, in, relation or class."""
+    """A constraint on nodes of some labels; kind is min_count, in, datatype, relation or class."""
 
     name: str
     labels: tuple[str, ...]
@@ -265,15 +265,18 @@ COLUMN_PROPS = {"source": "source", "confidence": "confidence_raw", "source_type
 
 def violations(graph: Graph, shapes: tuple[Shape, ...] | list[Shape]) -> DataFrame:
     """(shape, path, kind, severity, id): one row for each node and broken constraint. Labels and paths match by local name."""
-    direct = [s for s in shapes if s.kind in ("min_count", "in")]
+    direct = [s for s in shapes if s.kind in ("min_count", "in", "datatype")]
     checks = []
     for s in direct:
         value = F.col(COLUMN_PROPS[s.path]) if s.path in COLUMN_PROPS else F.col("props")[s.path]
-        broken = value.isNull() if s.kind == "min_count" else value.isNotNull() & ~value.isin(*s.allowed)
+        if s.kind == "datatype":  # every property is a string; other types must be readable from it
+            broken = F.lit(False) if s.allowed == ("string",) else value.isNotNull() & value.try_cast(s.allowed[0]).isNull()
+        else:
+            broken = value.isNull() if s.kind == "min_count" else value.isNotNull() & ~value.isin(*s.allowed)
         checks.append(F.when(has_label(*s.labels) & broken, F.struct(F.lit(s.name).alias("shape"), F.lit(s.path).alias("path"), F.lit(s.kind).alias("kind"), F.lit(s.severity).alias("severity"))))
     # one scan for all constraints on properties
     out = graph.nodes.select("id", F.explode(F.array_compact(F.array(*checks))).alias("c")).select("c.*", "id") if checks else None
-    for s in (s for s in shapes if s.kind not in ("min_count", "in")):
+    for s in (s for s in shapes if s.kind not in ("min_count", "in", "datatype")):
         start, end = graph.labelled(*s.labels), graph.labelled(s.end)
         if s.kind == "relation":
             ids = without_hop(graph, start, (s.path,), "out").select("id")
@@ -307,3 +310,30 @@ def conformance(graph: Graph, shapes: tuple[Shape, ...] | list[Shape]) -> DataFr
 
     n = violations(graph, shapes).agg(F.count("*").alias("broken")).join(rdf_triples(graph).agg(F.count("*").alias("triples")))
     return n.select(F.when(F.col("triples") == 0, 1.0).otherwise(1 - F.least(F.col("broken") / F.col("triples"), F.lit(1.0))).alias("score"))
+
+
+# What corresponds between the ontologies, from the first to the second and third.
+ALIGNED = (("Person", "Actor", "Agent"), ("Event", "Event", "Process"), ("Location", "Place", "Site"), ("Time", "Time", "TemporalInterval"), ("Vehicle", "Object", "MaterialEntity"), ("Object", "Object", "MaterialEntity"), ("PhysicalDescription", "PhysicalDescription", "DescriptiveICE"), ("Observation", "Observation", "InformationContentEntity"))
+
+
+def aligned(graph: Graph, to: str) -> Graph:
+    """The graph with the labels of the first ontology put into those of ``to`` ("sem" or "bfo"); other labels stay."""
+    table = {row[0]: row[1 if to == "sem" else 2] for row in ALIGNED}
+    new = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    labels = F.transform("labels", lambda x: F.coalesce(F.try_element_at(new, x), x))
+    return Graph(graph.nodes.withColumn("labels", labels).withColumn("label", F.get(labels, F.lit(0))), graph.edges)
+
+
+def property_completeness(graph: Graph, ontology: Ontology) -> DataFrame:
+    """(label, property, nodes, filled, share): how many nodes of each label have each property that the ontology knows; one scan."""
+    wanted = graph.nodes.sparkSession.createDataFrame([(n.label, p) for n in ontology.nodes.values() for p in (*n.required, *n.optional)], "label string, property string")
+    totals = graph.nodes.groupBy("label").agg(F.count("*").alias("nodes"))
+    filled = graph.nodes.select("label", F.explode(F.map_filter("props", lambda k, v: v.isNotNull() & (v != ""))).alias("property", "v")).groupBy("label", "property").agg(F.count("*").alias("filled"))
+    out = wanted.join(totals, "label").join(filled, ["label", "property"], "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
+    return out.withColumn("share", F.col("filled") / F.col("nodes"))
+
+
+def stale(nodes: DataFrame, at: str, instant: str = "utc_micros", days: int = 30) -> DataFrame:
+    """(id, days): nodes whose instant (microseconds) lies more than ``days`` before ``at``."""
+    age = (F.unix_micros(F.to_timestamp(F.lit(at))) - F.col(instant)) / 86_400_000_000
+    return nodes.where(age > days).select("id", F.floor(age).alias("days"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.store import materialize
 from graphloom.functions.text import plain_name
 from graphloom.model import Graph, desc_full, desc_truthy, has_label
 from graphloom.operators.write import detach_delete, merge_edges
@@ -82,12 +83,73 @@ def corroborations(graph: Graph, matches: DataFrame) -> DataFrame:
 
     Source names are found as whole blank-parted words by an equi-join, the substring test follows.
     """
+    pairs, told = corroboration_groups(graph, matches)
+    a, b = told.select(F.col("observation").alias("src"), F.col("source").alias("source_a")), told.select(F.col("observation").alias("dst"), F.col("source").alias("source_b"))
+    return pairs.join(a, "source_a").join(b, "source_b").where("src <> dst").select("src", "dst").distinct()
+
+
+def corroboration_groups(graph: Graph, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source_a, source_b) of strongly matched entities, and (source, observation) by the source's name in the description: ``corroborations`` without multiplying the members of two sources."""
     desc = entities(graph).where("desc is not null")
     strong = matches.where(F.col("confidence") >= STRONG).select("entity_a_desc", "entity_b_desc").distinct()
-    pairs = strong.join(desc.select(F.col("desc").alias("entity_a_desc"), F.col("source").alias("sa")), "entity_a_desc").join(desc.select(F.col("desc").alias("entity_b_desc"), F.col("source").alias("sb")), "entity_b_desc").where("sa <> sb").select("sa", "sb").distinct()
-    told = graph.labelled("Observation").select("id", F.explode(F.array_distinct(F.split(F.coalesce(F.col("props")["description"], F.lit("")), r"[\s,;()]+"))).alias("word"))
-    a, b = told.select(F.col("id").alias("src"), F.col("word").alias("sa")), told.select(F.col("id").alias("dst"), F.col("word").alias("sb"))
-    return pairs.join(a, "sa").join(b, "sb").where("src <> dst").select("src", "dst").distinct()
+    a, b = desc.select(F.col("desc").alias("entity_a_desc"), F.col("source").alias("source_a")).distinct(), desc.select(F.col("desc").alias("entity_b_desc"), F.col("source").alias("source_b")).distinct()
+    pairs = strong.join(a, "entity_a_desc").join(b, "entity_b_desc").where("source_a <> source_b").select("source_a", "source_b").distinct()
+    told = graph.labelled("Observation").select(F.col("id").alias("observation"), F.explode(F.array_distinct(F.split(F.coalesce(F.col("props")["description"], F.lit("")), r"[\s,;()]+"))).alias("source"))
+    return pairs, told.join(desc.select("source").distinct(), "source").select("source", "observation")
+
+
+def corroborate(graph: Graph, matches: DataFrame) -> tuple[Graph, DataFrame]:
+    """The graph with CORROBORATED_BY between Observations that bear strong matches out, and the created relationships."""
+    links = corroborations(graph, matches)
+    return merge_edges(graph, links.select("src", F.lit("CORROBORATED_BY").alias("type"), "dst", F.create_map().cast("map<string,string>").alias("props"), F.lit(0).alias("seq")))
+
+
+def run_fusion(graph: Graph, matcher: Callable[[DataFrame, DataFrame], DataFrame] | None = None, contradictor: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[Graph, DataFrame]:
+    """All pairs of sources fused: matches linked and counted in order, strong ones corroborated, contradictions applied after them.
+
+    Gives the graph and (step, n): matches, corroborations and contradictions.
+    """
+    spark = graph.nodes.sparkSession
+    matches = resolve(graph, matcher)
+    if "seq" not in matches.columns:
+        matches = matches.withColumn("seq", F.xxhash64("entity_a_desc", "entity_b_desc"))
+    matches = materialize(matches, "matches")
+    fused = apply_matches(graph, matches)
+    fused, borne = corroborate(fused, matches)
+    steps = [("matches", matches.count()), ("corroborations", borne.count())]
+    if contradictor:
+        against = materialize(contradictor(entities(graph), source_pairs(graph)), "contradictions")
+        fused = apply_contradictions(fused, against)
+        steps.append(("contradictions", against.count()))
+    return fused, spark.createDataFrame(steps, "step string, n bigint")
+
+
+#: How much a kind of source is believed, where nothing else is said.
+SOURCE_WEIGHTS = {"cctv": 0.95, "forensic_report": 0.95, "medical_report": 0.9, "police_report": 0.85, "statement": 0.7}
+
+
+def path_confidence(paths: DataFrame, edges: DataFrame, default: float = 0.5) -> DataFrame:
+    """(start_id, end_id, edge_ids, confidence): a chain is as sure as its least sure relationship (property confidence)."""
+    sure = edges.select(F.col("id").alias("edge_id"), F.coalesce(F.col("props")["confidence"].try_cast("double"), F.lit(default)).alias("c"))
+    return paths.select("start_id", "end_id", "edge_ids", F.explode("edge_ids").alias("edge_id")).join(sure, "edge_id").groupBy("start_id", "end_id", "edge_ids").agg(F.min("c").alias("confidence"))
+
+
+def weighted_confidence(graph: Graph, default: float = 0.5) -> DataFrame:
+    """(id, confidence): a node's confidence, else the weight of its kind of source."""
+    weights = F.create_map(*[F.lit(x) for kv in SOURCE_WEIGHTS.items() for x in kv])
+    return graph.nodes.select("id", F.coalesce("confidence", F.try_element_at(weights, F.col("source_type")), F.lit(default)).alias("confidence"))
+
+
+def corroboration_rate(graph: Graph) -> DataFrame:
+    """(label, entities, corroborated, rate): descriptions that more than one source tells of, by label."""
+    by = entities(graph).where("desc is not null").groupBy("label", "desc").agg(F.count_distinct("source").alias("sources"))
+    return by.groupBy("label").agg(F.count("*").alias("entities"), F.count_if(F.col("sources") > 1).alias("corroborated")).withColumn("rate", F.col("corroborated") / F.col("entities"))
+
+
+def contradiction_density(graph: Graph, type_: str = "CONTRADICTS") -> DataFrame:
+    """(contradictions, entities, density)."""
+    n = entities(graph).agg(F.count("*").alias("entities"))
+    return graph.typed(type_).agg(F.count("*").alias("contradictions")).join(n).withColumn("density", F.try_divide("contradictions", "entities"))
 
 
 def remove_source(graph: Graph, source: str) -> tuple[Graph, DataFrame]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.store import materialize
 from graphloom.functions.text import plain_name, tolerant_json
 from graphloom.model import Graph, desc_truthy
 from graphloom.ontology import SAFE_PROPERTY, Ontology
@@ -16,10 +17,16 @@ EXTRACTION = "entities array<struct<id:string,label:string,properties:map<string
 LEAST_KEPT = 0.4
 
 
-def extract(statements: DataFrame, extractor: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(source_id, source_type, x): the extractor's answers (source_id, answer) parsed; unreadable ones are empty."""
-    answers = extractor(statements).select("source_id", tolerant_json(F.col("answer"), EXTRACTION).alias("x"))
-    return statements.select("source_id", "source_type").join(answers, "source_id", "left")
+def extract(statements: DataFrame, extractor: Callable[[DataFrame], DataFrame], tries: int = 2) -> DataFrame:
+    """(source_id, source_type, x): the extractor's answers (source_id, answer) parsed. What cannot be read is asked again, ``tries`` times in all; then it is empty."""
+    read = lambda rows: rows.select("source_id", tolerant_json(F.col("answer"), EXTRACTION).alias("x")).where("x is not null")
+    good = materialize(read(extractor(statements)), "answers")
+    for _ in range(tries - 1):
+        again = statements.join(good.select("source_id"), "source_id", "left_anti")
+        if again.isEmpty():
+            break
+        good = good.unionByName(materialize(read(extractor(again)), "answers"))
+    return statements.select("source_id", "source_type").join(good, "source_id", "left")
 
 
 def remap(records: DataFrame, id_map: DataFrame) -> DataFrame:
@@ -82,16 +89,75 @@ def provenance_links(graph: Graph, observation_of: DataFrame) -> DataFrame:
     """(src, type, dst): MADE_BY, OBSERVED and DERIVED_FROM for Observations (obs, source_type, witness).
 
     MADE_BY goes to the named person, or to every witness where none is named; OBSERVED and DERIVED_FROM to all events for statements, else to events of the same kind of source or next to a node of it.
+    What goes to all by definition is as many rows as that; no side of these joins is larger than the result. ``provenance_groups`` says the same in rows for each group.
     """
-    persons = graph.labelled("Person").select(F.col("id").alias("p"), F.col("props")["name_or_description"].alias("name"), F.col("props")["role"].alias("role"))
-    named = observation_of.where("witness is not null").join(persons.select("p", F.col("name").alias("witness")), "witness").select("obs", "p")
-    # witnesses are told once per Observation without a name, by definition
-    unnamed = observation_of.where("witness is null").select("obs").withColumn("role", F.lit("witness")).join(persons.where("role = 'witness'").select("p", "role"), "role").select("obs", "p")
-    made = named.unionByName(unnamed).select(F.col("obs").alias("src"), F.lit("MADE_BY").alias("type"), F.col("p").alias("dst"))
-    events = graph.labelled("Event").select(F.col("id").alias("e"), "source_type")
-    kinds = graph.edges.select(F.explode(F.array(F.struct(F.col("src").alias("e"), F.col("dst").alias("n")), F.struct(F.col("dst").alias("e"), F.col("src").alias("n")))).alias("s")).select("s.*").join(graph.nodes.select(F.col("id").alias("n"), "source_type"), "n").select("e", "source_type")
-    near = events.select("e", "source_type").unionByName(kinds.join(events.select("e"), "e", "left_semi").select("e", "source_type")).where("source_type is not null").distinct()
-    every = events.select("e").withColumn("source_type", F.lit("statement"))
-    targets = near.where("source_type <> 'statement'").unionByName(every)
-    seen = observation_of.select("obs", "source_type").join(targets, "source_type").select("obs", "e").distinct()
-    return made.unionByName(seen.select(F.col("obs").alias("src"), F.lit("OBSERVED").alias("type"), F.col("e").alias("dst"))).unionByName(seen.select(F.col("e").alias("src"), F.lit("DERIVED_FROM").alias("type"), F.col("obs").alias("dst")))
+    groups, members = provenance_groups(graph, observation_of)
+    ends = members.select("group", F.col("id").alias("dst"))
+    made = groups.where("type = 'MADE_BY'").join(ends, "group").select(F.col("obs").alias("src"), "type", "dst")
+    seen = groups.where("type = 'OBSERVED'").join(ends, "group").select("obs", "dst").distinct()
+    return made.unionByName(seen.select(F.col("obs").alias("src"), F.lit("OBSERVED").alias("type"), "dst")).unionByName(seen.select(F.col("dst").alias("src"), F.lit("DERIVED_FROM").alias("type"), F.col("obs").alias("dst")))
+
+
+def provenance_groups(graph: Graph, observation_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(obs, type, group) and (group, id): each Observation points at groups of nodes, such as all witnesses, all events or the events of a kind of source; nothing is multiplied out."""
+    persons = graph.labelled("Person").select("id", F.col("props")["name_or_description"].alias("name"), F.col("props")["role"].alias("role"))
+    events = graph.labelled("Event").select("id", "source_type")
+    ends = F.array(F.struct(F.col("src").alias("e"), F.col("dst").alias("n")), F.struct(F.col("dst").alias("e"), F.col("src").alias("n")))
+    beside = graph.edges.select(F.explode(ends).alias("s")).select("s.*").join(graph.nodes.select(F.col("id").alias("n"), "source_type"), "n").select(F.col("e").alias("id"), "source_type")
+    near = events.unionByName(beside.join(events.select("id"), "id", "left_semi")).where("source_type is not null and source_type <> 'statement'").distinct()
+    members = (persons.where("name is not null").select(F.concat(F.lit("person "), "name").alias("group"), "id").unionByName(persons.where("role = 'witness'").select(F.lit("witnesses").alias("group"), "id"))
+               .unionByName(events.select(F.lit("events").alias("group"), "id")).unionByName(near.select(F.concat(F.lit("events of "), "source_type").alias("group"), "id")))
+    made = F.struct(F.lit("MADE_BY").alias("type"), F.when(F.col("witness").isNull(), "witnesses").otherwise(F.concat(F.lit("person "), F.col("witness"))).alias("group"))
+    seen = F.struct(F.lit("OBSERVED").alias("type"), F.when(F.col("source_type") == "statement", "events").otherwise(F.concat(F.lit("events of "), F.coalesce("source_type", F.lit("")))).alias("group"))
+    return observation_of.select("obs", F.explode(F.array(made, seen)).alias("g")).select("obs", "g.*"), members
+
+
+def observe(graph: Graph, statements: DataFrame, at: str, named: str = "Statement from ") -> tuple[Graph, DataFrame]:
+    """An Observation for each statement (source_id, source_type, witness), upserted by its description, with its provenance links; gives the graph and (obs, source_id)."""
+    rows = statements.select("source_id", "source_type", "witness").distinct().withColumn("merge_key", F.concat(F.lit(named), "source_id"))
+    props = F.create_map(F.lit("description"), F.col("merge_key"), F.lit("observation_type"), F.coalesce("source_type", F.lit("statement")), F.lit("source"), F.col("source_id"), F.lit("extracted_at"), F.lit(at))
+    merged, ids = merge_nodes(graph, rows.select(F.lit("Observation").alias("label"), "merge_key", props.alias("props"), F.lit(0).alias("seq")), desc_truthy())
+    told = materialize(rows.join(ids.select("merge_key", F.col("id").alias("obs")), "merge_key").select("obs", "source_id", "source_type", "witness"), "observations")
+    links = provenance_links(merged, told).select("src", "type", "dst", F.create_map().cast("map<string,string>").alias("props"), F.lit(0).alias("seq"))
+    final, _ = merge_edges(merged, links)
+    return final, told.select("obs", "source_id")
+
+
+def ingest(graph: Graph, statements: DataFrame, extractor: Callable[[DataFrame], DataFrame], ontology: Ontology, at: str, id_map: DataFrame | None = None, confidence: str = "0.8") -> tuple[Graph, DataFrame]:
+    """Statements (source_id, source_type, text, seq, and witness or none) into the graph: extraction with a retry, coreference, upserts and provenance.
+
+    Gives the graph and (step, n): statements, read, nodes and relationships that were created, observations.
+    """
+    spark = statements.sparkSession
+    records = materialize(extract(statements, extractor).where("x is not null").join(statements.select("source_id", "seq"), "source_id"), "records")
+    if id_map is not None:
+        records = materialize(remap(records, id_map), "records")
+    loaded, ids, links = load(graph, records, ontology, at, confidence)
+    witness = F.col("witness") if "witness" in statements.columns else F.lit(None).cast("string")
+    final, told = observe(loaded, statements.withColumn("witness", witness), at)
+    steps = [("statements", statements.count()), ("read", records.count()), ("nodes created", ids.where("created").count()), ("relationships created", links.count()), ("observations", told.count())]
+    return final, spark.createDataFrame(steps, "step string, n bigint")
+
+
+def merge_facts(graph: Graph, facts: DataFrame, ontology: Ontology, at: str) -> Graph:
+    """What an interview adds: records (x, seq) upserted as those of no source and of medium confidence."""
+    before = graph.nodes.select("id", F.lit(True).alias("_known"))
+    rows = facts.select(F.concat(F.lit("interview "), F.col("seq").cast("string")).alias("source_id"), F.lit(None).cast("string").alias("source_type"), "seq", "x")
+    loaded, _, _ = load(graph, rows, ontology, at, "medium")
+    # nodes that the interview made have no source; those that were there keep theirs
+    old = graph.nodes.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("props")["source"].alias("_told"))
+    joined = loaded.nodes.join(old, F.col("id") == F.col("_id"), "left").join(before, "id", "left")
+    own = F.map_filter("props", lambda k, v: k != "source")
+    props = F.when(F.col("_told").isNull(), own).otherwise(F.map_concat(own, F.create_map(F.lit("source"), F.col("_told"))))
+    return Graph(joined.withColumn("source", F.col("_source")).withColumn("props", props).select(*graph.nodes.columns), loaded.edges)
+
+
+def load_by_name(graph: Graph, entities: DataFrame, relationships: DataFrame) -> Graph:
+    """Entities (name, type, description) upserted by exact name, relationships (source, target, type) between names, types in capitals."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = entities.where("name is not null and name <> ''").select(F.coalesce("type", F.lit("Entity")).alias("label"), F.col("name").alias("merge_key"), F.create_map(F.lit("name"), F.col("name"), F.lit("description"), text(F.col("description"))).alias("props"), F.monotonically_increasing_id().alias("seq"))
+    merged, _ = merge_nodes(graph, rows, F.col("props")["name"])
+    ids = materialize(merged.nodes.select(F.col("props")["name"].alias("n"), "id").where("n is not null").groupBy("n").agg(F.min("id").alias("id")), "names")
+    a, b = ids.select(F.col("n").alias("source"), F.col("id").alias("src")), ids.select(F.col("n").alias("target"), F.col("id").alias("dst"))
+    links = relationships.join(a, "source").join(b, "target").select("src", relationship_name(F.col("type")).alias("type"), "dst", F.create_map().cast("map<string,string>").alias("props"), F.lit(0).alias("seq"))
+    return merge_edges(merged, links)[0]

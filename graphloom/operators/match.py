@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.store import discard, materialize
-from graphloom.model import Graph
+from graphloom.model import Graph, with_both_ends
+from graphloom.operators.components import seed_labels
 
 
 def oriented(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -23,7 +24,7 @@ def oriented(edges: DataFrame, direction: str = "out") -> DataFrame:
 
 def hop(graph: Graph, start: DataFrame, types: tuple[str, ...] | None = None, direction: str = "out", end: DataFrame | None = None) -> DataFrame:
     """(start_id, edge_id, type, end_id) of all steps from nodes of ``start`` to nodes of ``end`` (any node of the graph by default)."""
-    steps = oriented(graph.typed(*types) if types else graph.edges, direction)
+    steps = oriented(graph.links(*types or ()), direction)
     from_start = steps.join(start.select(F.col("id").alias("u")), "u")
     to = (graph.nodes if end is None else end).select(F.col("id").alias("v"))
     return from_start.join(to, "v").select(F.col("u").alias("start_id"), "edge_id", "type", F.col("v").alias("end_id"))
@@ -101,23 +102,10 @@ def on_cycles(graph: Graph, types: tuple[str, ...]) -> DataFrame:
 
 
 def components(graph: Graph) -> DataFrame:
-    """(id, component): the least id that undirected relationships tie a node to; isolated nodes are their own.
-
-    Rounds of least neighbour and pointer jumping, each written.
-    """
-    both = materialize(oriented(graph.edges.join(graph.nodes.select(F.col("id").alias("src")), "src", "left_semi").join(graph.nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), "both").where("u <> v").select("u", "v").distinct(), "links")
-    labels = materialize(graph.nodes.select("id", F.col("id").alias("component")).distinct(), "components")
-    while True:
-        seen = both.join(labels.select(F.col("id").alias("v"), F.col("component").alias("c")), "v").groupBy(F.col("u").alias("id")).agg(F.min("c").alias("c"))
-        lower = labels.join(seen, "id", "left").select("id", "component", F.least("component", F.coalesce("c", "component")).alias("new"))
-        up = lower.select(F.col("id").alias("new"), F.col("new").alias("jump"))
-        after = materialize(lower.join(up, "new", "left").select("id", F.least("new", F.coalesce("jump", "new")).alias("component"), (F.least("new", F.coalesce("jump", "new")) != F.col("component")).alias("moved")), "components")
-        discard(labels)
-        moved = not after.where("moved").isEmpty()
-        labels = after.drop("moved")
-        labels._graphloom_path = after._graphloom_path
-        if not moved:
-            return labels
+    """(id, component): the least id that undirected relationships tie a node to; isolated nodes are their own. By seed-tree pruning."""
+    links = with_both_ends(graph.edges, graph.nodes).where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    labels = materialize(seed_labels(materialize(links, "links")), "components")
+    return graph.nodes.select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("seed", "id").alias("component"))
 
 
 def degree(graph: Graph) -> DataFrame:
@@ -132,8 +120,8 @@ def condition_hops(graph: Graph, start: DataFrame, missing: list[tuple[tuple[str
     return start
 
 
-def equal_pairs(nodes: DataFrame, key: Column) -> DataFrame:
-    """(id_a, id_b, key), id_a < id_b, of nodes with the same labels and key, by an equi-join."""
+def equal_classes(nodes: DataFrame, key: Column) -> DataFrame:
+    """(id, first_id, key): nodes that share labels and key with others, each with the least id of its class; no class is multiplied out into pairs."""
     k = nodes.select("id", "labels", key.alias("key")).where("key is not null")
-    a, b = k.withColumnRenamed("id", "id_a"), k.withColumnRenamed("id", "id_b")
-    return a.join(b, ["labels", "key"]).where("id_a < id_b").select("id_a", "id_b", "key")
+    classes = k.groupBy("labels", "key").agg(F.min("id").alias("first_id"), F.count_distinct("id").alias("n")).where("n > 1").drop("n")
+    return k.distinct().join(classes, ["labels", "key"]).select("id", "first_id", "key")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.store import materialize, small_enough
 from graphloom.model import Graph
 from graphloom.operators.match import cycles, oriented, without_hop
-from graphloom.operators.write import first_by
+from graphloom.operators.write import first_by, merge_edges
 
 # Hours said in words; other words count as 0.
 HOUR_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "noon": 12, "midnight": 0}
@@ -57,9 +58,36 @@ def timeline(graph: Graph) -> DataFrame:
 
 
 def neighbours_in_time(rows: DataFrame, key: str, minutes: str, seq: str, group: str | None = None) -> DataFrame:
-    """(key, next_key) of entries next to each other in time; ``group`` keeps timelines apart."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(minutes, seq)
-    return rows.where(F.col(minutes).isNotNull()).withColumn(f"next_{key}", F.lead(key).over(w)).where(F.col(f"next_{key}").isNotNull())
+    """(key, next_key) of entries next to each other in time; ``group`` keeps timelines apart.
+
+    One timeline over all rows is parted by ranges of time: neighbours within a range are found there, and the first
+    entry of each range is handed to the range before it.
+    """
+    rows = rows.where(F.col(minutes).isNotNull())
+    if group:
+        w = Window.partitionBy(group).orderBy(minutes, seq)
+        return rows.withColumn(f"next_{key}", F.lead(key).over(w)).where(F.col(f"next_{key}").isNotNull())
+    spread = materialize(rows.repartitionByRange(minutes, seq).withColumn("_p", F.spark_partition_id()), "times")
+    first = spread.groupBy("_p").agg(F.min_by(key, F.struct(minutes, seq)).alias("_k")).orderBy("_p").collect()  # a row a range
+    after = {a["_p"]: b["_k"] for a, b in zip(first, first[1:])}
+    w = Window.partitionBy("_p").orderBy(minutes, seq)
+    kind = dict(rows.dtypes)[key]
+    border = F.try_element_at(F.create_map(*[F.lit(x) for kv in after.items() for x in kv]), F.col("_p")).cast(kind) if after else F.lit(None).cast(kind)
+    out = spread.withColumn(f"next_{key}", F.coalesce(F.lead(key).over(w), border))
+    return out.where(F.col(f"next_{key}").isNotNull()).drop("_p")
+
+
+def precede(graph: Graph) -> tuple[Graph, DataFrame]:
+    """The graph with PRECEDED_BY from each timeline entry to the next one, between all events of the two descriptions; the created relationships.
+
+    The type's name reads the other way round than its direction: the earlier event is its start.
+    """
+    line = timeline(graph).where("time_minutes is not null and description is not null").withColumn("seq", F.struct("branch", "n"))
+    steps = neighbours_in_time(line, "description", "time_minutes", "seq")
+    events = graph.labelled("Event").select("id", F.col("props")["description"].alias("d")).where("d is not null")
+    a, b = events.select(F.col("id").alias("src"), F.col("d").alias("description")), events.select(F.col("id").alias("dst"), F.col("d").alias("next_description"))
+    links = steps.select("description", "next_description").where("description <> next_description").distinct().join(a, "description").join(b, "next_description")
+    return merge_edges(graph, links.select("src", F.lit("PRECEDED_BY").alias("type"), "dst", F.create_map().cast("map<string,string>").alias("props"), F.lit(0).alias("seq")))
 
 
 def two_times(graph: Graph) -> DataFrame:
@@ -97,6 +125,8 @@ def allen(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Col
 
 
 def ascii_timeline(rows: DataFrame) -> str:
-    """A timeline short enough to print: timed entries by minutes, then the others in their order."""
+    """A timeline short enough to print (10,000 entries at most): timed entries by minutes, then the others in their order."""
+    if not small_enough(rows, 10_000):
+        raise ValueError("too many entries to print")
     out = [f"{r['c'] or '  ?  '} | {r['description']} [{r['source']}]" for r in rows.withColumn("c", clock(F.col("time_minutes"))).orderBy(F.asc_nulls_last("time_minutes"), "branch", "n").toLocalIterator()]
     return "\n".join(out)

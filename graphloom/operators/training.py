@@ -56,3 +56,34 @@ def rewritten(statements: DataFrame, styles: list[str], writer) -> DataFrame:
     """(source_id, style, text): each statement in each style by an injected writer, a function from (source_id, style, prompt) to (source_id, style, text)."""
     asked = statements.select("source_id", F.explode(F.array(*map(F.lit, styles))).alias("style"), "text")
     return writer(asked.select("source_id", "style", F.concat(F.lit("Rewrite in the style of "), F.col("style"), F.lit(", keeping every fact:\n"), F.col("text")).alias("prompt")))
+
+
+# What scenarios are asked for, by template.
+SCENARIOS = ("a collision of {n} vehicles told by a passer-by", "a theft of {n} objects told by a shopkeeper", "a fight of {n} persons told by a guard", "a fall told by {n} witnesses")
+
+
+def scenarios(spark, n: int, writer) -> DataFrame:
+    """(scenario_id, template, text): ``n`` made-up statements for each template by an injected writer over (scenario_id, template, prompt)."""
+    asked = spark.range(n).select(F.col("id").alias("k"), F.posexplode(F.array(*map(F.lit, SCENARIOS))).alias("template", "p"))
+    prompts = asked.select((F.col("k") * len(SCENARIOS) + F.col("template")).alias("scenario_id"), "template", F.concat(F.lit("Write a witness statement about "), F.replace("p", F.lit("{n}"), (F.col("k") % 5 + 1).cast("string"))).alias("prompt"))
+    return writer(prompts)
+
+
+def triple_split(triples: DataFrame, left_out: tuple[str, ...] = ("POSSIBLY_SAME_AS",), key: tuple[str, ...] = ("head", "relation", "tail")) -> DataFrame:
+    """(head, relation, tail, part): 80, 10 and 10 of a hundred by hash, links of fusion left out."""
+    kept = triples.where(~F.col("relation").isin(*left_out)).distinct()
+    return kept.withColumn("part", split_of(F.concat_ws("\u0001", *key)))
+
+
+def read_gold(spark, path: str) -> DataFrame:
+    """(source_id, entities, relationships) of annotation files, one JSON record a line."""
+    return spark.read.schema("source_id string, entities array<struct<id:string,label:string,properties:map<string,string>>>, relationships array<struct<from_id:string,rel_type:string,to_id:string>>").json(path)
+
+
+def triple_keys(records: DataFrame) -> DataFrame:
+    """(source_id, head, rel_type, tail) of records by description, for scores against other records."""
+    name = lambda p: F.coalesce(*[p[k] for k in ("description", "name_or_description", "name", "value", "summary")])
+    ents = records.select("source_id", F.explode("entities").alias("e")).select("source_id", F.col("e.id").alias("id"), name(F.col("e.properties")).alias("d"))
+    rels = records.select("source_id", F.explode("relationships").alias("r")).select("source_id", "r.*")
+    a, b = ents.select("source_id", F.col("id").alias("from_id"), F.col("d").alias("head")), ents.select("source_id", F.col("id").alias("to_id"), F.col("d").alias("tail"))
+    return rels.join(a, ["source_id", "from_id"]).join(b, ["source_id", "to_id"]).select("source_id", "head", "rel_type", "tail").distinct()

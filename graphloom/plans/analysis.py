@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.functions.store import table
 from graphloom.model import DESC_FULL, Graph, desc_full
-from graphloom.ontology import EVENT_SHAPES, SCHEMA_ORG, gaps, in_vocabulary, outside_vocabulary, priority_rank, shapes_of, spec_tables, violations
+from graphloom.ontology import EVENT_SHAPES, SCHEMA_ORG, gaps, in_vocabulary, outside_vocabulary, priority_rank, shapes_of, violations
 from graphloom.operators import agent, fusion, quality, temporal, training
 from graphloom.operators.ingest import resolve_names
 from graphloom.operators.retrieval import relevance_route as route
-from graphloom.operators.retrieval import triples
+from graphloom.operators.retrieval import top_k, triples
 from graphloom.plans.graphs import INCIDENTS, incidents, ring, tree
 from graphloom.sources import files
 from graphloom.streaming import ingest as stream
@@ -49,12 +49,6 @@ def structural_score(spark: SparkSession, sf: str) -> DataFrame:
     return quality.structural_score(incidents(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT 0.5::DOUBLE AS ring, 1.0::DOUBLE AS tree")
-def consistency_score(spark: SparkSession, sf: str) -> DataFrame:
-    """The ring fails the check for cycles, the tree passes both."""
-    return spark.createDataFrame([(float(quality.consistency_score(ring(spark, sf), ("PRECEDES",))), float(quality.consistency_score(tree(spark, sf), ("MANAGES",))))], "ring double, tree double")
-
-
 @query(f"WITH {INCIDENTS}, o AS (SELECT * FROM n WHERE NOT list_contains(labels, 'Observation')) SELECT t AS total, least(k, 20) AS orphans, round(greatest(0, 1 - least(k, 20) / t), 6) AS score FROM (SELECT count(*) AS t, count(*) FILTER (source IS NULL) AS k FROM o)")
 def grounding_capped(spark: SparkSession, sf: str) -> DataFrame:
     return quality.grounding_score(incidents(spark, sf)).withColumn("score", F.round("score", 6))
@@ -76,12 +70,6 @@ def shape_in(spark: SparkSession, sf: str) -> DataFrame:
     return violations(incidents(spark, sf), [s for s in EVENT_SHAPES if s.kind == "in"]).select("shape", "id")
 
 
-@query(f"""WITH {INCIDENTS} SELECT e.type AS path, e.src AS id FROM e JOIN n s ON s.id = e.src AND list_contains(s.labels, 'Event') JOIN n t ON t.id = e.dst
-WHERE (e.type = 'OCCURRED_AT' AND NOT list_contains(t.labels, 'Location')) OR (e.type = 'OCCURRED_AT_TIME' AND NOT list_contains(t.labels, 'Time'))""")
-def shape_class(spark: SparkSession, sf: str) -> DataFrame:
-    return violations(incidents(spark, sf), [s for s in EVENT_SHAPES if s.kind == "class"]).select("path", "id")
-
-
 @query(f"""WITH {INCIDENTS} SELECT 'OCCURRED_AT' AS path, id FROM n WHERE list_contains(labels, 'Event') AND id NOT IN (SELECT src FROM e WHERE type = 'OCCURRED_AT')
 UNION ALL SELECT 'OCCURRED_AT_TIME', id FROM n WHERE list_contains(labels, 'Event') AND id NOT IN (SELECT src FROM e WHERE type = 'OCCURRED_AT_TIME')
 UNION ALL SELECT 'MADE_BY', id FROM n WHERE list_contains(labels, 'Observation') AND id NOT IN (SELECT src FROM e WHERE type = 'MADE_BY')""")
@@ -131,24 +119,16 @@ def population_checks(spark: SparkSession, sf: str) -> DataFrame:
     return quality.population_checks(incidents(spark, sf))
 
 
-@query(f"WITH {INCIDENTS} SELECT count(DISTINCT source) AS sources, 0.7::DOUBLE AS score FROM n")
-def cross_source_score(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.cross_source_score(incidents(spark, sf))
-
-
-@query("SELECT label, min(score) AS low, max(score) AS high, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS spread FROM (SELECT event_type AS label, value AS score FROM events) GROUP BY label")
-def calibration_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("label")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("spread"))
-
-
-@query("SELECT 0.65::DOUBLE AS skipped, round(0.9, 6)::DOUBLE AS active, 3 AS recommended")
+@query(f"""WITH {INCIDENTS}, l AS (SELECT unnest({list(LABELS)!r}) AS label), s AS (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM n WHERE list_contains(n.labels, l.label)) THEN 1.0 ELSE 0.0 END) AS x FROM l),
+i AS (SELECT count(*) FILTER (id IN (SELECT src FROM e UNION SELECT dst FROM e)) / count(*) AS x FROM n), g AS (SELECT 1 - count(*) FILTER (source IS NULL) / count(*) AS x FROM n WHERE NOT list_contains(labels, 'Observation'))
+SELECT round(0.15 * s.x + 0.15 * i.x + 0.20 * g.x, 6)::DOUBLE AS skipped, round((0.15 * s.x + 0.15 * i.x + 0.20 * g.x) / 0.5, 6)::DOUBLE AS active FROM s, i, g""")
 def overall_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    """Four structural dimensions at 1 count for 0.65 while two are skipped; with the two at 0.9 and the rest too the mean is 0.9."""
-    base = [quality.Result(d, 1.0) for d in ("schema", "structural", "consistency", "constraint")]
-    skipped = [*base, quality.Result("coherence", quality.SKIPPED), quality.Result("faithfulness", quality.SKIPPED)]
-    every = [quality.Result(d, 0.9) for d in (*quality.BASE_WEIGHTS, *quality.MORE_WEIGHTS)]
-    low = [*base[:3], quality.Result("constraint", 0.5)]
-    return spark.createDataFrame([(round(quality.overall(skipped), 6), round(quality.overall(every), 6), len(quality.recommendations(low)))], "skipped double, active double, recommended int")
+    """Schema, structure and grounding of the incidents; the dimensions that were skipped count as 0, or not at all where only active ones are asked for."""
+    g = incidents(spark, sf)
+    score = lambda df: float(df.first()["score"])
+    results = [quality.Result("schema", score(quality.schema_score(g, LABELS))), quality.Result("structural", score(quality.structural_score(g))), quality.Result("constraint", score(quality.grounding_score(g, None)))]
+    results += [quality.Result(d, quality.SKIPPED) for d in ("consistency", "coherence", "faithfulness")]
+    return spark.createDataFrame([(round(quality.overall(results), 6), round(quality.overall(results, normalise_active=True), 6))], "skipped double, active double")
 
 
 @query("""SELECT doc_id, round(sqrt(s), 4) AS distance FROM (
@@ -165,13 +145,11 @@ def near_duplicate_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return quality.near_pairs(table(spark, sf, "embeddings"), 1.1).withColumn("distance", F.round("distance", 4))
 
 
-@query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))) AS score FROM embeddings) ORDER BY round(score, 6) DESC, vec_id LIMIT 10")
+@query("SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10)")
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten vectors nearest to the first one: a top-k report."""
     v = table(spark, sf, "embeddings")
-    first = v.orderBy("vec_id").select("embedding").first()["embedding"]
-    q = F.array(*[F.lit(float(x)) for x in first])
-    return v.select("vec_id", F.round(X.cosine(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    return top_k(v, v.orderBy("vec_id").select("embedding").first()["embedding"], 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 _PARSE = r"""CASE WHEN regexp_matches(v, '(\d{1,2}):(\d{2}):(\d{2})') THEN regexp_extract(v, '(\d{1,2}):(\d{2}):(\d{2})', 1)::DOUBLE * 60 + regexp_extract(v, '(\d{1,2}):(\d{2}):(\d{2})', 2)::DOUBLE + regexp_extract(v, '(\d{1,2}):(\d{2}):(\d{2})', 3)::DOUBLE / 60
@@ -243,15 +221,6 @@ def confidence_decay(spark: SparkSession, sf: str) -> DataFrame:
     return incidents(spark, sf).nodes.select("id", F.round(fusion.decayed(F.col("confidence")), 6).alias("confidence"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT d, count(*)::INT AS k FROM (SELECT entity_a_desc AS d FROM fusion_matches WHERE confidence >= 0.8 AND NOT isnan(confidence) UNION ALL SELECT entity_b_desc FROM fusion_matches WHERE confidence >= 0.8 AND NOT isnan(confidence)) WHERE d <> '' GROUP BY d),
-f AS (SELECT d, k, 0 AS i, 0.5::DOUBLE AS c FROM h UNION ALL SELECT d, k, i + 1, CASE WHEN c < 0.95 THEN c + (1 - c) * 0.3 ELSE c END FROM f WHERE i < k)
-SELECT d AS "desc", round(c, 6) AS confidence FROM f WHERE i = k""")
-def confidence_fold(spark: SparkSession, sf: str) -> DataFrame:
-    m = table(spark, sf, "fusion_matches").where((F.col("confidence") >= 0.8) & ~F.isnan("confidence"))
-    hits = m.select(F.explode(F.array("entity_a_desc", "entity_b_desc")).alias("desc")).where("desc <> ''").groupBy("desc").agg(F.count("*").alias("k"))
-    return hits.select("desc", F.round(fusion.folded(F.lit(0.5), F.array_repeat(F.lit(True), F.col("k").cast("int"))), 6).alias("confidence"))
-
-
 @query(f"WITH {INCIDENTS} SELECT id, lower(trim(regexp_replace(trim(props['name_or_description']), '^(?i:dr|mr|ms|mrs)\\.?\\s+', ''))) AS name FROM n WHERE label = 'Person' AND props['name_or_description'] IS NOT NULL")
 def normalise_names(spark: SparkSession, sf: str) -> DataFrame:
     p = incidents(spark, sf).nodes.where("label = 'Person' and props['name_or_description'] is not null")
@@ -270,13 +239,6 @@ def source_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.source_pairs(incidents(spark, sf))
 
 
-@query(f"""WITH {INCIDENTS}, o AS (SELECT id, props['description'] AS d FROM n WHERE list_contains(labels, 'Observation')) SELECT o.id, s.source_id FROM o JOIN sources s ON list_contains(string_split(o.d, ' '), s.source_id)""")
-def contains_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations that name a source: an equi-join on words in place of a nested loop."""
-    o = incidents(spark, sf).labelled("Observation").select("id", F.explode(F.array_distinct(F.split(F.col("props")["description"], " "))).alias("source_id"))
-    return o.join(table(spark, sf, "sources").select("source_id"), "source_id").select("id", "source_id")
-
-
 @query(f"WITH {INCIDENTS} SELECT e.id, '(' || a.labels[1] || ': ' || coalesce(a.props['description'], a.props['name_or_description'], a.props['value'], a.props['summary'], a.id::VARCHAR) || ') -[' || e.type || ']-> (' || b.labels[1] || ': ' || coalesce(b.props['description'], b.props['name_or_description'], b.props['value'], b.props['summary'], b.id::VARCHAR) || ')' AS triple FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst")
 def linearise_triples(spark: SparkSession, sf: str) -> DataFrame:
     return triples(incidents(spark, sf))
@@ -292,40 +254,6 @@ def rdf_triples(spark: SparkSession, sf: str) -> DataFrame:
     return files.rdf_triples(incidents(spark, sf)).groupBy("p", "is_iri").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {INCIDENTS} SELECT id, 'node:' || src || ' ' || CASE type WHEN 'OCCURRED_AT_TIME' THEN 'schema:startDate' WHEN 'OCCURRED_AT' THEN 'schema:location' WHEN 'INVOLVED_IN' THEN 'evt:involvedIn' WHEN 'DERIVED_FROM' THEN 'prov:wasDerivedFrom' ELSE 'evt:' || type END || ' node:' || dst || ' .' AS line FROM e
-UNION ALL SELECT id, 'node:' || id || chr(10) || '    a schema:Place ;' || chr(10) || '    rdfs:label "' || props['description'] || '" .' FROM n WHERE labels[1] = 'Location' AND len(list_filter(map_entries(props), lambda x: x.value IS NOT NULL)) = 1 AND props['description'] IS NOT NULL""")
-def turtle_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """All relationships, and the places that have only a description."""
-    g = incidents(spark, sf)
-    places = g.nodes.where("labels[0] = 'Location' and size(props) = 1 and props['description'] is not null")
-    return files.turtle_lines(Graph(places, g.edges)).select("id", "line")
-
-
-@query(f"""WITH {INCIDENTS} SELECT id, '{{"@id":"urn:event-twin:node:' || id || '","@type":["GraphVersion"],"source_id":"' || props['source_id'] || '"}}' AS json FROM n WHERE len(labels) = 1 AND label = 'GraphVersion' AND id NOT IN (SELECT src FROM e) AND len(list_filter(map_entries(props), lambda x: x.value IS NOT NULL)) = 1 AND props['source_id'] IS NOT NULL""")
-def jsonld_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Versions without relationships."""
-    g = incidents(spark, sf)
-    keep = g.nodes.where("size(labels) = 1 and label = 'GraphVersion' and size(props) = 1 and props['source_id'] is not null").join(g.edges.select(F.col("src").alias("id")), "id", "left_anti")
-    return files.jsonld_nodes(Graph(keep, g.edges))
-
-
-@query()
-def turtle_lines_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole graph; too long to say in SQL, as literals differ by key."""
-    return files.turtle_lines(incidents(spark, sf))
-
-
-@query()
-def jsonld_nodes_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All nodes with all their references."""
-    return files.jsonld_nodes(incidents(spark, sf))
-
-
-@query(f"""WITH {INCIDENTS} SELECT id, 'n' || src || ' -> n' || dst || ' [label="' || type || '"];' AS line FROM e""")
-def dot_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return files.dot_lines(incidents(spark, sf)).where("kind = 'relationship'").select("id", "line")
-
-
 @query("""WITH s AS (SELECT DISTINCT thread_id, step, node FROM agent_states) SELECT thread_id, step, node, (count(*) OVER (PARTITION BY thread_id) - row_number() OVER (PARTITION BY thread_id ORDER BY step))::INT AS later FROM s""")
 def thread_state_history(spark: SparkSession, sf: str) -> DataFrame:
     return agent.history(table(spark, sf, "agent_states")).select("thread_id", "step", "node", "later")
@@ -336,12 +264,6 @@ def thread_state_diff(spark: SparkSession, sf: str) -> DataFrame:
     return agent.transitions(table(spark, sf, "agent_states"))
 
 
-@query(r"""SELECT id, len(list_filter(list_transform(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: x <> ''))::INT AS sentences FROM (SELECT DISTINCT id, content FROM rag_documents WHERE content IS NOT NULL)""")
-def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "rag_documents").where("content is not null").select("id", "content").distinct()
-    return d.select("id", F.size(X.sentences(F.col("content"))).alias("sentences"))
-
-
 @query("""WITH d AS (SELECT DISTINCT id, content FROM rag_documents WHERE content IS NOT NULL), p AS (SELECT id, list_filter(list_transform(string_split(content, '.'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))), lambda x: x <> '') AS s FROM d)
 SELECT id, i AS pos, array_to_string(s[i * 4 + 1: i * 4 + 4], '. ') || '.' AS chunk FROM (SELECT id, s, unnest(range(0, ((len(s) + 3) // 4)::BIGINT))::INT AS i FROM p WHERE len(s) > 0)""")
 def chunk_4(spark: SparkSession, sf: str) -> DataFrame:
@@ -366,38 +288,6 @@ def kv_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return agent.lookup(keys, table(spark, sf, "nation"), "n_nationkey", "n_name").select("o_orderkey", "n_name")
 
 
-def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A statement and a record for each snapshot: its nodes and relationships."""
-    s = table(spark, sf, "graph_snapshots").where("nodes is not null and relationships is not null").dropDuplicates(["snapshot_id"]).withColumn("source_id", F.col("snapshot_id").cast("string"))
-    ents = F.transform("nodes", lambda x: F.struct(x["id"].cast("string").alias("id"), F.get(x["labels"], F.lit(0)).alias("label"), x["props"].alias("properties")))
-    rels = F.transform("relationships", lambda x: F.struct(x["start_id"].cast("string").alias("from_id"), x["type"].alias("rel_type"), x["end_id"].cast("string").alias("to_id")))
-    return s.select("source_id", F.concat(F.lit("Graph "), "graph_id").alias("text")), s.select("source_id", ents.alias("entities"), rels.alias("relationships"))
-
-
-@query("SELECT DISTINCT snapshot_id::VARCHAR AS source_id, 'Graph ' || graph_id AS question, 3 AS turns FROM graph_snapshots WHERE nodes IS NOT NULL AND relationships IS NOT NULL")
-def sft_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return training.chat_rows(*_records(spark, sf)).select("source_id", F.col("messages")[1]["content"].alias("question"), F.size("messages").alias("turns"))
-
-
-@query("SELECT DISTINCT snapshot_id::VARCHAR AS source_id, v AS variant, 'Graph ' || graph_id AS prompt FROM graph_snapshots, unnest(['hallucinated', 'incomplete']) AS u(v) WHERE nodes IS NOT NULL AND relationships IS NOT NULL")
-def dpo_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return training.preference_pairs(*_records(spark, sf)).select("source_id", "variant", "prompt")
-
-
-def incomplete_negatives(spark: SparkSession, sf: str) -> DataFrame:
-    _, gold = _records(spark, sf)
-    return gold.select("source_id", training.incomplete(F.col("entities"), F.col("relationships")).alias("x")).select("source_id", F.size("x.entities").alias("entities"), F.size("x.relationships").alias("relationships"))
-
-
-Q["incomplete_negatives"] = incomplete_negatives  # which of repeated deliveries is taken is open, so no SQL
-
-
-@query("SELECT spec_id, count(*) AS n FROM (VALUES ('schema-org-event-v1', 8, 14), ('sem-event-v1', 7, 10), ('bfo-cco-event-v1', 9, 14)) AS v(spec_id, a, b), unnest(range(a + b)) GROUP BY spec_id")
-def ontology_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, rels = spec_tables(spark)
-    return nodes.select("spec_id").unionByName(rels.select("spec_id")).groupBy("spec_id").agg(F.count("*").alias("n"))
-
-
 _KNOWN_L, _KNOWN_R = tuple(SCHEMA_ORG.nodes), tuple(SCHEMA_ORG.rels)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import analysis, patterns
+from graphloom.plans import analysis, patterns, pipeline
 
-QUERIES = patterns.Q | analysis.Q
-SQL = patterns.SQL | analysis.SQL
+QUERIES = patterns.Q | analysis.Q | pipeline.Q
+SQL = patterns.SQL | analysis.SQL | pipeline.SQL

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.store import table
-from graphloom.model import Graph
+from graphloom.model import Graph, with_both_ends
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> Graph:
     """graph_nodes and graph_edges, repeated rows once, null properties absent, relationships with both ends."""
-    nodes = table(spark, sf_dir, "graph_nodes").dropDuplicates(["id"]).withColumn("props", F.map_filter("props", lambda k, v: v.isNotNull()))
-    edges = table(spark, sf_dir, "graph_edges").dropDuplicates(["id"])
-    ids = table(spark, sf_dir, "graph_nodes").select("id").distinct()
-    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("id", "src", "dst", "type", "props")
-    return Graph(nodes, edges)
+    nodes = table(spark, sf_dir, "graph_nodes").withColumn("props", F.map_filter("props", lambda k, v: v.isNotNull()))
+    edges = table(spark, sf_dir, "graph_edges")
+    return Graph(nodes.dropDuplicates(["id"]), with_both_ends(edges.dropDuplicates(["id"]), nodes), nodes, edges)
 
 
 INCIDENTS = """n AS (SELECT * FROM graph_nodes QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1),

@@ -113,15 +113,8 @@ def implicit_group_count(spark: SparkSession, sf: str) -> DataFrame:
     return found.join(g.labelled("Nation").select(F.col("id").alias("end_id"), F.col("props")["name"].alias("nation")), "end_id").groupBy("nation").agg(F.count("*").alias("n")).orderBy(F.desc_nulls_first("n"), "nation")
 
 
-@query(f"WITH {INCIDENTS} SELECT v.source, count(DISTINCT v.id) AS nodes, count(DISTINCT e.id) AS rels FROM n v LEFT JOIN e ON e.src = v.id OR e.dst = v.id WHERE v.source LIKE 'cam-%' GROUP BY v.source")
+@query(f"WITH {INCIDENTS}, s AS (SELECT n.source, n.id, e.id AS rel FROM n JOIN e ON e.src = n.id UNION ALL SELECT n.source, n.id, e.id FROM n JOIN e ON e.dst = n.id UNION ALL SELECT source, id, NULL FROM n) SELECT source, count(DISTINCT id) AS nodes, count(DISTINCT rel) AS rels FROM s GROUP BY source")
 def distinct_endpoint_count(spark: SparkSession, sf: str) -> DataFrame:
-    g = incidents(spark, sf)
-    return _endpoint_counts(Graph(g.nodes.where(F.col("source").like("cam-%")), g.edges))
-
-
-@query()
-def distinct_endpoint_count_all(spark: SparkSession, sf: str) -> DataFrame:
-    """For all sources; the OR join that states it would be slow."""
     return _endpoint_counts(incidents(spark, sf))
 
 
@@ -140,10 +133,11 @@ def source_summary(spark: SparkSession, sf: str) -> DataFrame:
     return incidents(spark, sf).nodes.where(~has_label("GraphVersion")).groupBy("source", "source_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {INCIDENTS}, k AS (SELECT id, labels, coalesce(props['description'], props['name_or_description'], props['value']) AS key FROM n WHERE list_contains(labels, 'Object') OR list_contains(labels, 'Vehicle'))
-SELECT a.id AS id_a, b.id AS id_b, a.key FROM k a JOIN k b ON a.labels = b.labels AND a.key = b.key AND a.id < b.id""")
-def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return M.equal_pairs(incidents(spark, sf).labelled("Object", "Vehicle"), desc_probe())
+@query(f"""WITH {INCIDENTS}, k AS (SELECT id, labels, coalesce(props['description'], props['name_or_description'], props['value']) AS key FROM n), c AS (SELECT labels, key, min(id) AS first_id FROM k WHERE key IS NOT NULL GROUP BY labels, key HAVING count(*) > 1)
+SELECT k.id, c.first_id, k.key FROM k JOIN c ON c.labels = k.labels AND c.key = k.key""")
+def duplicate_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes that equal others, each with the first of its class."""
+    return M.equal_classes(incidents(spark, sf).nodes, desc_probe())
 
 
 @query('SELECT min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE "text" IS NOT NULL GROUP BY "text" HAVING count(*) > 1')
@@ -190,7 +184,8 @@ def cycles_2_5(spark: SparkSession, sf: str) -> DataFrame:
     return M.paths(g, g.nodes, 2, 5, ("PRECEDES",)).where("start_id = end_id").select("start_id", "length", F.array_join("edge_ids", ">").alias("edges"))
 
 
-@query("SELECT true AS cyclic UNION ALL SELECT false")
+@query(f"""WITH RECURSIVE {RING}, {TREE}, a AS (SELECT src, dst FROM r WHERE src <> dst UNION SELECT a.src, r.dst FROM a JOIN r ON r.src = a.dst WHERE r.src <> r.dst), b AS (SELECT src, dst FROM t UNION SELECT b.src, t.dst FROM b JOIN t ON t.src = b.dst)
+SELECT EXISTS (SELECT 1 FROM a WHERE src = dst) AS cyclic UNION ALL SELECT EXISTS (SELECT 1 FROM b WHERE src = dst)""")
 def cycle_exists(spark: SparkSession, sf: str) -> DataFrame:
     found = [(not M.on_cycles(ring(spark, sf), ("PRECEDES",)).isEmpty(),), (not M.on_cycles(tree(spark, sf), ("MANAGES",)).isEmpty(),)]
     return spark.createDataFrame(found, "cyclic boolean")

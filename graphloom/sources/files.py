@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.store import small_enough
 from graphloom.functions.text import source_type
 from graphloom.model import Graph, desc_full, desc_truthy, has_label
 
@@ -45,8 +46,10 @@ def turtle_text(value: Column) -> Column:
     return value
 
 
-def rdf_triples(graph: Graph) -> DataFrame:
-    """(s, p, o, is_iri): all properties as literals, labels as types, relationships as links."""
+def rdf_triples(graph: Graph, ontology_id: str | None = None) -> DataFrame:
+    """(s, p, o, is_iri): all properties as literals, labels as types, relationships as links; ``ontology_id`` keeps the nodes of one ontology, all relationships stay."""
+    if ontology_id is not None:
+        graph = Graph(graph.nodes.where(F.col("ontology_id") == ontology_id), graph.edges)
     iri = lambda c: F.concat(F.lit("node:"), c.cast("string"))
     types = graph.nodes.select(iri(F.col("id")).alias("s"), F.lit("rdf:type").alias("p"), F.explode("labels").alias("o"), F.lit(True).alias("is_iri"))
     props = graph.nodes.select(iri(F.col("id")).alias("s"), F.explode("props").alias("p", "o")).where("o is not null").select("s", "p", "o", F.lit(False).alias("is_iri"))
@@ -114,9 +117,11 @@ def tsv_triples(graph: Graph) -> DataFrame:
 
 
 def vis_html(graph: Graph, title: str = "Graph") -> str:
-    """A page that draws a graph small enough to look at."""
+    """A page that draws a graph small enough to look at: 20,000 nodes and relationships at most."""
     import json
 
+    if not small_enough(graph.nodes, 20_000) or not small_enough(graph.edges, 20_000):
+        raise ValueError("too large to draw")
     nodes = [{"id": r["id"], "label": f"{r['label']}\n{(r['d'] or '')[:30]}", "color": COLOURS.get(r["label"], "#bdc3c7")} for r in graph.nodes.select("id", F.get("labels", F.lit(0)).alias("label"), desc_truthy().alias("d")).toLocalIterator()]
     edges = [{"from": r["src"], "to": r["dst"], "label": r["type"], "dashes": r["type"] in ("CONTRADICTS", "POSSIBLY_SAME_AS")} for r in graph.edges.select("src", "dst", "type").toLocalIterator()]
     return f"<html><head><title>{title}</title><script src='https://unpkg.com/vis-network/standalone/umd/vis-network.min.js'></script></head><body><div id='g' style='height:95vh'></div><script>new vis.Network(document.getElementById('g'),{{nodes:{json.dumps(nodes)},edges:{json.dumps(edges)}}},{{}})</script></body></html>"

@@ -7,8 +7,14 @@ from collections import Counter
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-SOME = ("label_counts", "one_hop_lookup", "two_hop_chain", "optional_hop", "two_way_missing", "duplicate_pairs", "undirected_1_2_hops", "unbounded_path", "cycles_2_5", "wcc_components", "merge_nodes", "merge_edges", "detach_delete", "completeness_rules_union", "shape_min_count",
-        "timeline", "whatif_remove_source", "property_diff", "confidence_fold", "resolve_first_wins", "chunk_4", "turtle_lines", "thread_state_diff", "event_sessions", "p5_found")
+
+
+def _stated() -> list[str]:
+    """All queries of the core that SQL states."""
+    from graphloom.plans import catalogue, core_problems
+
+    return sorted(catalogue.SQL | core_problems.SQL)
+
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not there")
 
@@ -22,7 +28,7 @@ def normal(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", _stated())
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
@@ -56,7 +62,7 @@ def test_entry(spark):
 
 
 def test_whole_graph_queries(spark, tmp_path):
-    """turtle_lines, jsonld_nodes and distinct_endpoint_count without their cuts: all labels, properties, references and sources."""
+    """turtle_graph, jsonld_graph and distinct_endpoint_count: all labels, properties, references and sources."""
     import json
 
     import __spark_entry__ as entry
@@ -66,11 +72,11 @@ def test_whole_graph_queries(spark, tmp_path):
     edges = [(7, 1, 2, "DROVE", {}), (8, 1, 3, "DROVE", {}), (8, 1, 3, "DROVE", {}), (9, 2, 2, "SELF", {}), (10, 1, 99, "DROVE", {})]
     spark.createDataFrame(edges, "id bigint, src bigint, dst bigint, type string, props map<string,string>").write.parquet(str(tmp_path / "graph_edges.parquet"))
     run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
-    lines = [(r["kind"], r["id"], r["line"]) for r in run("turtle_lines_all")]
+    lines = [(r["kind"], r["id"], r["line"]) for r in run("turtle_graph")]
     assert sorted(x[:2] for x in lines) == [("node", 1), ("node", 2), ("node", 3), ("relationship", 7), ("relationship", 8), ("relationship", 9)]
     one = next(x[2] for x in lines if x[:2] == ("node", 1))
     assert one.startswith("node:1\n    a ") and 'rdfs:label "Ann"' in one and 'evt:gender "f"' in one and "role" not in one
-    ld = {r["id"]: json.loads(r["json"]) for r in run("jsonld_nodes_all")}
+    ld = {r["id"]: json.loads(r["json"]) for r in run("jsonld_graph")}
     ref = lambda i: {"@id": f"urn:event-twin:node:{i}"}
     assert set(ld) == {1, 2, 3} and ld[1]["drove"] == [ref(2), ref(3)] and ld[2]["self"] == ref(2) and ld[1]["gender"] == "f" and "role" not in ld[1]
-    assert {tuple(r) for r in run("distinct_endpoint_count_all")} == {("desk-1", 1, 2), ("cam-1", 1, 2), (None, 1, 1)}
+    assert {tuple(r) for r in run("distinct_endpoint_count")} == {("desk-1", 1, 2), ("cam-1", 1, 2), (None, 1, 1)}

@@ -221,9 +221,9 @@ def test_judges_and_reports(spark, graph):
     f = quality.faithfulness("t", "s", lambda p: 'so {"score": 5, "hallucinated": ["x"], "missing": ["y"]}')
     assert f.violations == ["error: x", "warning: y"]
     assert quality.narrative("t", lambda p: "SCORE: 4").score == 0.8 and quality.narrative("t", lambda p: "").score == 0.6 and quality.narrative("(empty graph)", lambda p: "SCORE: 5").score == 0
-    skip = lambda: quality.rotations()
+    skip = lambda: quality.Result("link_prediction", quality.SKIPPED)
     assert quality.first_that_answers(skip, lambda: quality.Result("x", 0.3)).score == 0.3 and quality.first_that_answers(lambda: 1 / 0).score == 0.5 and quality.first_that_answers(skip).score == quality.SKIPPED
-    assert "schema 1.0000" in quality.report([quality.Result("schema", 1.0), quality.rotations()]) and "skipped" in quality.report([quality.rotations()])
+    assert "schema 1.0000" in quality.report([quality.Result("schema", 1.0), quality.Result("link_prediction", quality.SKIPPED)]) and "skipped" in quality.report([quality.Result("link_prediction", quality.SKIPPED)])
     share = {r["id"]: r["share"] for r in quality.borne_out(retrieval.triples(graph), "Ann drove the van, person vehicle").collect()}
     assert share[4] == 1.0 and share[1] < 0.5
     assert quality.triple_plausibility(spark.createDataFrame([(5.0,), (-5.0,)], "score double")).first()["score"] == 0.5
