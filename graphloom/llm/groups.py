@@ -1,10 +1,7 @@
 """Groups of records tied together by accepted pairwise matches (connected components).
 
-Seed-tree pruning: in each round every vertex points itself and its neighbours to the least vertex
-around (minimum selection); a vertex that nobody, itself included, chose as least drops out into a
-propagation forest below the least of its choices, and the chosen ones are linked among themselves for the next round
-(pruning). The graph shrinks by a factor each round; when no link is left, the vertices that remain
-are the seeds, and their identifiers flow down the forest from the last round to the first.
+The groups are found by seed-tree pruning, see ``operators/components.py``: vertices connect to neighbourhood minima, non-minimal
+vertices drop out into a propagation forest, then seed identifiers flow down that forest.
 
 Descriptions become ids that keep their byte order, so rounds shuffle two longs a link and the least
 id of a group is its least description. A vertex with very many links costs no task more than its
@@ -19,10 +16,11 @@ table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.store import discard, materialize
+from graphloom.operators.components import seed_labels
 
 
 def accepted_pairs(matches: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -37,53 +35,15 @@ def ordered_ids(values: DataFrame) -> DataFrame:
     return materialize(values.distinct().orderBy("v").withColumn("id", F.monotonically_increasing_id()), "ids")
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    ends: Column = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
-    return edges.select(F.explode(ends).alias("e")).select("e.*")
-
-
-def _prune_round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links of the next round and this round's part of the forest (child, parent)."""
-    links = _both_ways(edges)
-    least = links.groupBy("u").agg(F.min(F.least("u", "v")).alias("x"))
-    chosen = materialize(
-        links.join(least, "u").select(F.col("v").alias("u"), "x").unionByName(least).distinct(), "chosen")
-    best = materialize(chosen.groupBy("u").agg(F.min("x").alias("m"), F.max(F.col("x") == F.col("u")).alias("stays")), "best")
-    after = materialize(
-        chosen.join(best.select("u", "m"), "u").where("x <> m").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "links")
-    discard(chosen)
-    return after, best.where("not stays").select(F.col("u").alias("child"), F.col("m").alias("parent"))
-
-
-def seed_labels(edges: DataFrame) -> DataFrame:
-    """(id, seed) of every vertex of ``edges`` (a, b longs, a < b); the seed is the least id of its group."""
-    forest, links, n = [], edges, 0
-    while not links.isEmpty():
-        after, dropped = _prune_round(links)
-        forest.append(dropped)
-        if n:
-            discard(links)
-        links, n = after, n + 1
-    labels = None
-    for dropped in reversed(forest):
-        if labels is None:
-            labels = dropped.select(F.col("child").alias("id"), F.col("parent").alias("seed"))
-            continue
-        above = labels.select(F.col("id").alias("parent"), "seed")
-        below = dropped.join(above, "parent", "left").select(F.col("child").alias("id"), F.coalesce("seed", "parent").alias("seed"))
-        labels = materialize(below.unionByName(labels), "labels")
-    if labels is None:
-        return edges.sparkSession.createDataFrame([], "id bigint, seed bigint")
-    return labels.unionByName(labels.select("seed").distinct().select(F.col("seed").alias("id"), "seed"))
-
-
 def match_groups(matches: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(group_desc, entity_desc): every description in an accepted row with the least one of its group."""
     pairs = materialize(accepted_pairs(matches, threshold), "pairs")
     ids = ordered_ids(pairs.select(F.explode(F.array("a", "b")).alias("v")))
     a, b = (ids.select(F.col("v").alias(k), F.col("id").alias(f"{k}_id")) for k in "ab")
     edges = materialize(pairs.join(a, "a").join(b, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "edges")
-    labels = seed_labels(edges)
+    labels = materialize(seed_labels(edges), "labels")
+    discard(edges)
+    discard(pairs)
     named = labels.join(ids.withColumnRenamed("v", "entity_desc"), "id").select("seed", "entity_desc")
     seeds = labels.select("seed").distinct().join(ids.select(F.col("id").alias("seed"), F.col("v").alias("group_desc")), "seed")
     return named.join(seeds, "seed").select("group_desc", "entity_desc")
