@@ -94,7 +94,8 @@ def is_copy(question: str | None, answer: str) -> bool:
     if compressed_rest((q + " ") * 4, a) > 18 + len(a) // 5:
         return False
     asked, said = Counter(q.split()), Counter(a.split())
-    own, gone = list((said - asked).elements()), list((asked - said).elements())
+    # the question said twice is still nothing else
+    own, gone = [w for w in said.elements() if w not in asked], list((asked - said).elements())
     lead = [w for w in own if w not in ("q", "question", "frage", "pregunta", "you", "asked", "sie", "fragten")]
     if not lead:
         return sum(map(len, gone)) <= max(4, len(q) // 6)
@@ -132,17 +133,23 @@ def is_other_language(question: str | None, answer: str) -> bool:
     return bool(asked and said and asked != said and counts[asked] <= 0.5 * counts[said])
 
 
+NAMED = "*"  # any word with a capital, for names that are too rare to be counted each
+
+
 def contexts(answer: str) -> list[tuple[str, str]]:
     """(event, context) of every word of an answer: goes on, ends, or begins a longer word."""
     out = []
     for sentence in re.split(r"(?<=[.!?])\s+", answer.strip()):
-        words = [_shape(w) for w in _TOKEN.findall(sentence.replace("’", "'"))]
+        written = _TOKEN.findall(sentence.replace("’", "'"))
+        words = [_shape(w) for w in written]
         for i, w in enumerate(words):
             before = words[i - 1] if i else "^"
             event = "end" if i + 1 == len(words) else "on"
             out.append((event, f"{before} {w}"))
             if i > 1:
                 out.append((event, f"{words[i - 2]} {before} {w}"))
+                if written[i][0].isupper():
+                    out.append((event, f"{words[i - 2]} {before} {NAMED}"))
             out += [("part", f"{before} {w[:k]}") for k in range(1, min(len(w), 12)) if not w[0].isdigit()]
     return out
 
@@ -164,7 +171,8 @@ def last_context(answer: str) -> str | None:
     found = _TOKEN.findall(words)
     if not found:
         return None
-    return " ".join(["^"] * (len(found) == 1) + [_shape(w) for w in found[-3:]])
+    words = [_shape(w) for w in found[-3:]]
+    return " ".join(["^"] * (len(found) == 1) + words + [NAMED] * (len(found) > 2 and found[-1][0].isupper()))
 
 
 def defect_of(question: str | None, answer: str | None) -> tuple[str | None, str | None]:
@@ -183,11 +191,11 @@ def defect_of(question: str | None, answer: str | None) -> tuple[str | None, str
 
 def answer_pairs(states: DataFrame) -> DataFrame:
     """(thread_id, step, item, question, answer) of all states with questions."""
-    s = states.select("thread_id", "step", "node", F.from_json("state", STATE).alias("s"))
+    s = states.select("thread_id", "step", "node", F.from_json("state", f"{STATE}, _unread string", {"columnNameOfCorruptRecord": "_unread"}).alias("s")).where("s is not null and s._unread is null")
     none = F.array().cast("array<string>")
     both = F.arrays_zip(F.coalesce(F.transform("s.questions", lambda q: q["question"]), none).alias("question"), F.coalesce("s.user_answers", none).alias("answer"))
     single = F.array(F.struct(F.col("s.question").alias("question"), F.col("s.answer").alias("answer")))
-    pairs = F.when(F.col("node") == "ask_user", both).when((F.col("node") == "answer") & F.col("s").isNotNull(), single)
+    pairs = F.when(F.col("node") == "ask_user", both).when(F.col("node") == "answer", single)
     return s.select("thread_id", "step", F.posexplode(pairs).alias("item", "p")).select("thread_id", "step", "item", "p.question", "p.answer")
 
 
@@ -221,12 +229,16 @@ def defective_pairs(pairs: DataFrame, least_end_share: float = 0.3) -> DataFrame
     known = judged.where("defect is not null").select("thread_id", "step", "item", "defect")
     open_ = judged.where("defect is null and context is not null").select("thread_id", "step", "item", "context")
     counts = context_counts(pairs.where("answer is not null and answer <> ''").select("answer"))
-    # three words where the corpus has them often enough, else the last two
-    words = F.split("context", " ")
-    asked = open_.select("thread_id", "step", "item", F.explode(F.array_distinct(F.array("context", F.array_join(F.slice(words, -2, 2), " ")))).alias("context"))
+    # three words where the corpus has them often enough, else the last two, else the two before with any name in the last one's place
+    named = F.endswith("context", F.lit(f" {NAMED}"))
+    words = F.split(F.when(named, F.expr("left(context, length(context) - 2)")).otherwise(F.col("context")), " ")
+    before = F.when(named, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.lit(NAMED)))
+    forms = F.array_compact(F.array_distinct(F.array(F.array_join(words, " "), F.array_join(F.slice(words, -2, 2), " "), before)))
+    asked = open_.select("thread_id", "step", "item", F.explode(forms).alias("context"))
     n = F.col("ends") + F.col("goes_on")
-    size = F.size(F.split("context", " "))
+    often, size = n >= 4, F.size(F.split("context", " "))
+    rank = F.when(F.endswith("context", F.lit(f" {NAMED}")), F.when(often, 1)).when(size > 2, F.when(often, 3)).otherwise(F.when(often, 2).otherwise(0))
     broken = (F.col("ends") < least_end_share * n) | (F.col("part") > 4 * n)
-    told = asked.join(counts, "context").where((size < 3) | (n >= 4)).groupBy("thread_id", "step", "item").agg(F.max_by(broken, size).alias("broken"))
+    told = asked.join(counts, "context").where(rank.isNotNull()).groupBy("thread_id", "step", "item").agg(F.max_by(broken, rank).alias("broken"))
     late = told.where("broken").select("thread_id", "step", "item", F.lit("truncated").alias("defect"))
     return known.unionByName(late).distinct()

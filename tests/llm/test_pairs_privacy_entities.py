@@ -205,3 +205,47 @@ def test_surrogates_are_permutations():
         assert sorted(moved) == list(range(size)) and all(a != b for a, b in enumerate(moved))
     with pytest.raises(ValueError):
         privacy.Surrogates(b"")
+
+
+def test_compression_finds_copies_that_equality_does_not():
+    """p6_found: the question twice, with a lead or with slips; short answers out of the question's words are sound."""
+    q = "Which way did the red van go after the crash?"
+    for a in (f"{q} {q}", f"Q: {q}", f"You asked: {q.upper()}", "Which way did the red van go aftr the crash", q + " " + q + " " + q):
+        assert " ".join(a.split()) != q and pairs.is_copy(q, a), a
+    for a in ("After the crash.", "The red van?", f"{q} It went north, past the school.", "no", "Which way did the red van go after the crash? North"):
+        assert not pairs.is_copy(q, a), a
+
+
+def test_states_without_answers_have_empty_ones(spark):
+    """p6_found: null or short user_answers leave questions without answers, which are empty."""
+    rows = [("t", 1, "ask_user", json.dumps({"questions": [{"question": "Who?"}, {"question": "When?"}], "user_answers": None})), ("t", 2, "ask_user", json.dumps({"questions": [{"question": "Who?"}, {"question": "When?"}], "user_answers": ["It was Ann."]})), ("t", 3, "answer", json.dumps({"question": "Who?", "answer": "It was Ann."})), ("t", 4, "answer", "not json")]
+    found = pairs.defective_pairs(pairs.answer_pairs(spark.createDataFrame(rows, "thread_id string, step int, node string, state string")))
+    assert {(r["step"], r["item"], r["defect"]) for r in found.collect()} == {(1, 0, "empty"), (1, 1, "empty"), (2, 1, "empty")}
+
+
+def test_rare_names_are_judged_by_what_stands_before_them(spark):
+    """p6_found: a broken name that occurs once is told by the words before it."""
+    states = [("t", i, "answer", json.dumps({"question": "Which way?", "answer": f"The car went on towards Town{chr(97 + i % 26)}{chr(97 + i // 26)} without a stop."})) for i in range(200)]
+    states.append(("t", 999, "answer", json.dumps({"question": "Which way?", "answer": "The car went on towards Yeldamins"})))
+    found = pairs.defective_pairs(pairs.answer_pairs(spark.createDataFrame(states, "thread_id string, step int, node string, state string")))
+    assert {(r["step"], r["defect"]) for r in found.collect()} == {(999, "truncated")}
+
+
+def test_gates_let_through_all_that_the_patterns_match():
+    """p2_found: spelled numbers without the common words, bracketed at-signs with blanks and braces, short surnames alone."""
+    kinds = lambda t: [(k, t[a:b]) for a, b, k in privacy.find_pii(t)]
+    for mail in ("jan{at}mail.de", "jan [ at ] mail.de", "jan (at) mail.de"):
+        assert kinds(f"Write to {mail} please.") == [("email", mail)]
+    for phone in ("seis uno dos tres cuatro cinco seis ocho", "oh one two three four five six eight"):
+        assert kinds(f"Ring {phone} today.") == [("phone", phone)]
+    assert kinds("I met James Cole, and later Cole left.") == [("name", "James Cole"), ("name", "Cole")]
+    assert kinds("I met Mary Ng there.") == [("name", "Mary Ng")]
+
+
+def test_pages_of_numbers_share_their_phrases():
+    """p10_found: phrases that differ in prices only are one."""
+    from graphloom.llm.spam import Shingler
+
+    made = Shingler()
+    a, b = made.of("cheap mattress local from 80.99 buy now"), made.of("cheap mattress local from 7.50 buy now")
+    assert len(a) and set(a.tolist()) == set(b.tolist())
