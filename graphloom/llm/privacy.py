@@ -54,6 +54,7 @@ _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)"
 _JOIN = r"(?:\s+(?:underscore|dot|dash|hyphen|plus|minus)\s+|\s?[\[({](?:dot|underscore|plus)[\])}]\s?)"
 EMAIL = re.compile(
     rf"(?<![\w.+-])\w[\w.+%'-]*?(?:{_JOIN}[\w+-]+)*(?:(?:\s?@\s?|\s?[\[({{]\s?at\s?[\])}}]\s?)[\w-]+(?:{_DOT}[\w-]+)*{_DOT}{_TLD}|\s+at\s+[\w-]+(?:{_DOT}[\w-]+)*(?:\s+dot\s+|\s?[\[({{]\s?dot\s?[\])}}]\s?){_TLD})\b(?!\s+dot\s+\w)", re.I)
+_AT = re.compile(r"[\[({]\s?at\s?[\])}]")
 _DIGIT = "zero|one|two|three|four|five|six|seven|eight|nine|oh|double|triple|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|plus"
 SPELLED = re.compile(rf"\b(?:{_DIGIT})(?:[\s,-]+(?:{_DIGIT})){{6,}}\b", re.I)
 PHONE = re.compile(r"(?<![\w@.+:-])(?:\+\s?\d|\(?0|\(\d{3}\)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\d{2}[ .]\d{2}[ .]\d{2}[ .]\d{2}[ .]\d{2})[\d ().\-/]*\d(?![\w@])")
@@ -109,7 +110,7 @@ def _name_span(text: str, a: int, b: int, strict: bool) -> tuple[int, int] | Non
         return None
     if strict and not all(w[0].isupper() for w, _, _ in words) and plain[0] not in _GIVEN:
         return None
-    if len(plain[-1]) < 3:
+    if len(plain[-1]) < 3 and not (len(plain[-1]) == 2 and words[-1][0][0].isupper() and words[-1][0][1].islower()):
         return None
     return words[0][1], words[-1][2]
 
@@ -128,7 +129,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
             found.append((a, b, kind))
 
     low = text.lower()
-    if "@" in text or " dot " in low or "at]" in low or "at)" in low or "at }" in low:
+    if "@" in text or "dot" in low or _AT.search(low):
         for m in EMAIL.finditer(text):
             add(*m.span(), "email")
     if any(c.isdigit() for c in text):
@@ -148,9 +149,8 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
             before = text[max(0, a - 30):a].lower()
             if 9 <= digits <= 15 and not re.search(r"\b(?:exhibit|log|order|plate|ref|badge|case (?:no\.?|number))(?: no\.?| number)?[ :#]*$", before):
                 add(a, b, "phone")
-    if any(w in low for w in ("zero", "null", "zéro", "cero", "double", "seven", "nine")):
-        for m in SPELLED.finditer(text):
-            add(*m.span(), "phone")
+    for m in SPELLED.finditer(text):
+        add(*m.span(), "phone")
     for literal, pattern in _CUED:
         for m in pattern.finditer(text) if literal in low else ():
             if span := _name_span(text, *m.span("name"), strict=True):
@@ -175,7 +175,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     at = 0
     while m := _WORD.search(text, at):
         given, sur = m.group("given"), m.group("sur")
-        named = given.lower() in _GIVEN and sur.lower() not in _NOT_NAMES and len(sur) >= 3 and given[0].isupper() and sur[0].isupper()
+        named = given.lower() in _GIVEN and sur.lower() not in _NOT_NAMES and len(sur) >= 2 and given[0].isupper() and sur[0].isupper()
         if named:
             add(*m.span(), "name")
         at = m.end() if named else m.end("given")  # what is no given name may stand before one
@@ -183,7 +183,7 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
         if span := _name_span(text, *m.span("name"), strict=True):
             add(*span, "name")
     # a surname that is known here is the same person's wherever else it stands
-    surnames = {w for a, b, k in found if k == "name" for w in [text[a:b].split()[-1]] if len(w) > 4 and w[0].isupper()}
+    surnames = {w for a, b, k in found if k == "name" for w in [text[a:b].split()[-1]] if len(w) > 1 and w[0].isupper() and w.lower() not in _NOT_NAMES}
     for s in surnames:
         for m in re.finditer(rf"(?<![\w@.-]){re.escape(s)}(?![\w@-])", text):
             if not re.match(rf"\s(?:{STREETS})\b", text[m.end():]):
