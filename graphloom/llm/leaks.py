@@ -5,7 +5,7 @@ text is scanned once, window by window: words outside the evaluation vocabulary
 once, so only runs of n known words are looked up, and a hit is verified against the item's own words
 (the set holds the words themselves, not only a hash of them). Spans or documents can then be removed.
 
-The evaluation set is held-out material of fixed size (hundreds of items); ``max_items`` states the bound that is
+The evaluation set is held-out material of fixed size (hundreds of items); ``max_items`` and ``MAX_CHARS`` state the bounds that are
 proven before it is collected and broadcast. The training table is neither shuffled nor collected, so a source
 with a third of all rows is just more splits.
 
@@ -73,7 +73,13 @@ class GramIndex:
         return "".join(out) + text[last:]
 
 
+MAX_CHARS = 20_000_000  # of all evaluation texts together, as each becomes words and grams in every Python worker
+
+
 def _index(items: DataFrame, n: int, max_items: int) -> GramIndex:
+    size = items.select("item_id", "text").where("item_id is not null").distinct().agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > MAX_CHARS:
+        raise ValueError(f"more than {MAX_CHARS} characters of evaluation texts; part them")
     rows = items.select("item_id", "text").where("item_id is not null").distinct().limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"more than {max_items} evaluation items; raise max_items if the driver can hold them")
