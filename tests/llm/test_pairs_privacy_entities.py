@@ -141,6 +141,17 @@ def test_blocks_over_the_limit_lose_no_pair_of_a_town(spark):
     assert met(10_000) and met(10_000) == met(5)
 
 
+def test_candidates_do_not_depend_on_the_size_of_a_block(spark):
+    """p4_found: reports of one block meet whatever their towns, however many share it."""
+    towns = ["Narbelport", "Oskasholm", "Kessomport", None]
+    rows = [person(i, f"s{i % 20}", f"Man in a red coat at Fenton Road{', ' + t if t else ''}", f"2024-05-01T{i % 24:02d}:{i % 60:02d}:00Z") for i in range(60) for t in [towns[i % 4]]]
+    sources = spark.createDataFrame([(f"s{i}", "UTC", "en-GB") for i in range(20)], "source_id string, tz string, locale string")
+    told = entities.materialize(entities.told_nodes(spark.createDataFrame(rows, NODE), sources), "told")
+    met = lambda block: sorted(tuple(r) for r in entities.report_pairs(told, block=block).collect())
+    whole = met(10_000)
+    assert len(whole) == len(set(whole)) == 60 * 59 // 2 and met(7) == met(40) == whole
+
+
 def test_weights_are_learnt_from_counts():
     """p4_found: frequencies of a made-up population come back from the patterns alone."""
     rnd = random.Random(3)
