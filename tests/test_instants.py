@@ -144,3 +144,16 @@ def test_a_source_without_locale_is_read_by_its_records(spark):
     got = {r["id"]: r["utc_micros"] for r in node_instants(spark.createDataFrame(rows, NODES), spark.createDataFrame([("open", "UTC", None, None)], SOURCES)).collect()}
     right = sum(got[i] == micros(d.year, d.month, d.day, 10) for i, d in enumerate(days))
     assert len(got) == len(days) and right > 0.95 * len(days)
+
+
+def test_all_records_are_read_whole_and_chained(spark, monkeypatch):
+    """p3_found: sources with a locale take the same way as those without; of differing rows of one id the earliest instant counts in both."""
+    from graphloom.operators import instants
+
+    seen, choose = [], instants.choose_readings
+    monkeypatch.setattr(instants, "choose_readings", lambda read, *a: seen.extend(read.collect()) or choose(read, *a))
+    rows = [(1, ["Event"], "Event", {}, "gb", "2025-10-26 01:30:00", 1), (2, ["Event"], "Event", {}, "open", "25/02/2024 10:00", 1), (2, ["Event"], "Event", {}, "open2", "24/02/2024 10:00", 1), (2, ["Event"], "Event", {}, "open2", "23/02/2024 10:00", 1),
+            (3, ["Event"], "Event", {}, "open2", "03/04/2024 10:00", 1), (4, ["Event"], "Event", {}, "open", "just now", 1)]
+    got = {r["id"]: r["utc_micros"] for r in node_instants(spark.createDataFrame(rows, NODES), spark.createDataFrame([*KNOWN, ("open2", "UTC", None, None)], SOURCES)).collect()}
+    assert got == {1: micros(2025, 10, 26, 0, 30), 2: micros(2024, 2, 23, 10), 3: micros(2024, 4, 3, 10)}
+    assert {(r["id"], len(r["readings"])) for r in seen} == {(1, 2), (2, 1), (3, 2), (4, 0)}
