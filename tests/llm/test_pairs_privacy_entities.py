@@ -260,3 +260,52 @@ def test_pages_of_numbers_share_their_phrases():
     made = Shingler()
     a, b = made.of("cheap mattress local from 80.99 buy now"), made.of("cheap mattress local from 7.50 buy now")
     assert len(a) and set(a.tolist()) == set(b.tolist())
+
+
+def test_one_shuffle_of_nodes_serves_both_reports(spark):
+    """p4_found: reports a and b meet the same shuffled nodes, and what asks are few or many gives the same pairs."""
+    streets = ("Rasridge Hill", "Fenton Parade")
+    rows = [person(i, "abcd"[i % 4], f"{'Short man in navy anorak' if i % 3 else 'Tara Ludwolan'} at {streets[i % 2]}, Narbelport", None if i % 5 == 0 else f"2024-05-0{1 + i % 3}T10:00:00Z") for i in range(30)]
+    rows += [person(30 + i, "abcd"[i % 4], f"someone in a coat at {streets[i % 2]}", None) for i in range(6)]
+    sources = spark.createDataFrame([(s, "UTC", "en-GB") for s in "abcd"], "source_id string, tz string, locale string")
+    told = entities.told_nodes(spark.createDataFrame(rows, NODE), sources)
+    few, many = (sorted(map(tuple, entities._asked(told, small=n)[0].distinct().collect())) for n in (100_000, 0))
+    assert few == many and few
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = entities.compared(told, entities.report_pairs(told))
+        assert both.count() and both.collect()
+        assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_plates_agree_letter_by_letter(spark):
+    rnd = random.Random(7)
+
+    def level(a, b):
+        if a == b and len(a.replace("?", "")) >= 5:
+            return "3"
+        same = [x == y for x, y in zip(a, b) if "?" not in (x, y)]
+        right, wrong = sum(same), len(same) - sum(same)
+        return "-" if right + wrong < 2 else ("3" if right >= 5 else "2") if not wrong else "1" if wrong == 1 and right >= 4 else "0"
+
+    plates = []
+    for _ in range(400):
+        a = "".join(rnd.choices("ab7?", k=rnd.randint(2, 8)))
+        plates.append((a, "".join(c if rnd.random() < 0.8 else rnd.choice("ab7?") for c in a)[:rnd.randint(1, 8)]))
+    none = ", ".join(f"cast(null as string) x{i}_{s}" for i in range(5) for s in "ab") + ", " + ", ".join(f"cast(null as int) {c}_{s}" for c in ("age", "tolerance") for s in "ab")
+    frame = spark.createDataFrame(plates, "x5_a string, x5_b string").selectExpr("*", "'v' kind_a", "'v' kind_b", *none.split(", "))
+    got = {(r["x5_a"], r["x5_b"]): r["p"] for r in frame.select("x5_a", "x5_b", entities._pattern().alias("p")).collect()}
+    assert {p: x[5] for p, x in got.items()} == {p: level(*p) for p in plates} and set("0123-") == {x[5] for x in got.values()}
+
+
+@pytest.mark.parametrize("kind", [k for k in entities._FIND if k != "vehicle"])
+def test_words_of_a_kind_are_found_by_their_tokens(kind):
+    rnd = random.Random(kind)
+    words = [w for k in entities._KINDS.values() for w in k] + ["x", "a-", "_red", "navy-", "foot", "1", "60 m", "very", "dark", "off"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(words) + rnd.choice((" ", " ", ", ", "-", ".", "", "(")) for _ in range(5))
+        m = entities._FIND[kind].search(text)
+        assert entities._first(kind, text, entities._TOKEN.findall(text)) == (m.group() if m else ""), text
